@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import byte_bpe, exact_dedup, html_extract, langid, near_dedup, packing, token_counts
+from pagewright.llm import byte_bpe, exact_dedup, html_extract, langid, near_dedup, packing, repeats, token_counts
 from pagewright.llm.common import read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -52,11 +52,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), CONTEXT)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(read(spark, sf_dir, "documents"), 400).drop("kept")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op4_html_extraction, op5_near_dedup, op7_token_counts, op10_byte_bpe)
+    f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op4_html_extraction, op5_near_dedup, op7_token_counts, op9_suffix_dedup, op10_byte_bpe)
 }
 ORACLE: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
