@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagewright.llm.common import ship, text_chunks, texts_of
 from pagewright.llm.wordsplit import LETTER, classes, split
@@ -162,23 +163,24 @@ def predict(docs: DataFrame, model: Model, keep: list[Column] = ()) -> DataFrame
     """lang_pred and score (the language's share of the posterior) of every whole text.
 
     ``und`` with score 0 where the text is null, empty or without a letter, or
-    the model has no language.  keep: more columns to carry; by default doc_id.
+    the model has no language.  keep: the columns to carry; by default doc_id.
     """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    kept = docs.select(*(keep or [F.col("doc_id")]), F.col("text").cast("string").alias("__text"))
-    names = kept.columns[:-1]
-    schema = kept.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    kept = docs.select(*(keep or [F.col("doc_id")]))
+    names = kept.columns
+    schema = StructType([*kept.schema.fields]).add("lang_pred", "string").add("score", "double")
+    given = kept if "text" in names else docs.select(*(keep or [F.col("doc_id")]), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         scorer = Scorer(sent.value)
-        for table in text_chunks(batches, CHUNK, "__text"):
-            langs, scores = scorer.texts(texts_of(table, "__text"))
+        for table in text_chunks(batches, CHUNK):
+            langs, scores = scorer.texts(texts_of(table))
             cols = [table.column(i).combine_chunks() for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def held_out() -> Column:

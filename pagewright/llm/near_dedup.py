@@ -260,7 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash.
 
     component_id is the smallest doc_id that links reach, the row's own
     included (null doc_ids only where there is no other); kept where it is the
@@ -295,6 +295,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     group = F.coalesce("root", "set_id")
     labels = node_root.groupBy(group.alias("group")).agg(F.min("least").alias("component_id"))
     of_set = node_root.select("set_id", group.alias("group")).join(labels, "group").select("set_id", "component_id", F.lit(True).alias("__has"))
-    out = rows.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    out = rows.select("doc_id", "n_shingles", "set_id", "text_hash").join(of_set, "set_id", "left")
     component = F.when(F.col("__has"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, the one with the smallest doc_id.
+
+    Rows that repeat a doc_id and text count once.
+    """
+    found, _ = save(near_duplicates(docs, width, percent))
+    key = [F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")]
+    gone, _ = save(found.where("not kept").select(*key).distinct())
+    few = gone.count() <= BROADCAST_KEYS
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("k_hash"))
+    left = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    again = found.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+    return left if again else left.dropDuplicates(["doc_id", "text"])

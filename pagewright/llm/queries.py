@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import byte_bpe, exact_dedup, html_extract, langid, near_dedup, packing, repeats, token_counts
+from pagewright.llm import ann, byte_bpe, exact_dedup, html_extract, langid, line_dedup, near_dedup, packing, repeats, token_counts
 from pagewright.llm.common import read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -48,12 +48,21 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), CONTEXT)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.cut_repeats(read(spark, sf_dir, "documents"), 400).drop("kept")
+    return repeats.cut_repeats(read(spark, sf_dir, "documents"), 400).drop("kept_text")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +70,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op4_html_extraction, op5_near_dedup, op7_token_counts, op9_suffix_dedup, op10_byte_bpe)
+    f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_language_id, op4_html_extraction, op5_near_dedup, op6_nearest_neighbours, op7_token_counts, op8_line_dedup, op9_suffix_dedup, op10_byte_bpe)
 }
 ORACLE: dict[str, str] = {"op2_exact_dedup": OP2_SQL}

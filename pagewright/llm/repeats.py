@@ -374,16 +374,22 @@ def covered(spans: list[tuple[int, int]], min_len: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in out]
 
 
-def cut_repeats(docs: DataFrame, min_len: int = 400) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes.
+def cut_repeats(docs: DataFrame, min_len: int = 400, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of ``docs``: the ``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     Removed is every byte of a min_len-byte string that also starts anywhere
-    else, in the same text or in another row's; overlaps count.  Null text is
-    empty.  Rows that repeat a doc_id and text are copies of each other.  An
-    empty table gives no rows; further columns are ignored.
+    else, in the same text or in another row's; overlaps count.  kept_text leaves
+    out characters of which a part is removed; kept_sha256 is of the bytes.  Null
+    text is empty.  Rows that repeat a doc_id and text are copies of each other.
+    An empty table gives no rows; other columns are ignored.
     """
     spans, _ = save(repeated_ranges(docs, min_len))
-    joined = with_lists(keyed(docs), spans, "left").select("doc_id", "text", "spans")
+    text = F.col("text").cast("string")
+    own = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    joined = with_lists(own, spans, "left").select(*[f"k_{c}" for c in keep], "text", "spans")
+    schema = docs.select(*keep).schema
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
+        schema = schema.add(name, kind)
 
     def run(batches):
         for table in text_chunks(batches, CHUNK):
@@ -396,12 +402,12 @@ def cut_repeats(docs: DataFrame, min_len: int = 400) -> DataFrame:
                     at = b
                 kept.append(text[at:])
                 left = b"".join(kept)
-                for c, v in zip(cols, (len(text), len(text) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left), strict=True):
+                whole = b"".join(x.decode("utf-8", "ignore").encode() for x in kept)
+                for c, v in zip(cols, (len(text), len(text) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), whole), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks(), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+            made = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+            made[-1] = made[-1].cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*(table.column(i).combine_chunks() for i in range(len(keep))), *made], names=schema.names)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(run, schema)
