@@ -12,9 +12,10 @@ its first anchor.
    symbol of depth.  Block borders that appear in pass h give common prefixes of
    h - 1 symbols, and blocks that last give the repeated intervals.  No suffix is
    sorted again.
-3. An exact check on bytes follows, on the anchors of repeated intervals only:
-   first by the whole range of starts of an anchor, then start by start for the
-   ranges that differ within an interval.
+3. An exact check on bytes follows, on the anchors of repeated intervals only.
+   All starts of an anchor are taken at once, then blocks of starts, then single
+   ones: a range of starts is decided as soon as the bytes that cover it repeat
+   (all of them do) or the bytes common to it do not (none does).
 
 Shards pass on counts of distinct strings, never lists of occurrences; the
 occurrences are found again by a join that can be split.  So a passage in a third
@@ -23,8 +24,9 @@ of all documents needs no task of its own.
 
 from __future__ import annotations
 
+import gc
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,10 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import save, ship, text_chunks
 from pagewright.llm.wordsplit import ragged
 
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 GRAM = 16
+#: Starts in a block of the exact check.
+BLOCK = 10
 #: Per-document lists up to this many bytes in all are broadcast, larger ones joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 #: Input bytes for each group of first phrases.
@@ -273,29 +277,43 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(np.unique(repeated_strings(parts)).view(np.int64))})
 
 
+def place_of(pos: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """An anchor's position and the range of distances from its starts, in one number."""
+    return (pos.astype(np.int64) << 32) | (near.astype(np.int64) << 16) | far.astype(np.int64)
+
+
+def parts_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 32, (place >> 16) & 0xFFFF, place & 0xFFFF
+
+
 def occurrences(docs: DataFrame, min_len: int) -> DataFrame:
-    """Every anchor that is the first of a string of min_len: key, document, position, range of starts, hash of the bytes they cover."""
+    """Every anchor that is the first of a string of min_len: key, document, place, and hashes.
+
+    core: of the bytes from the anchor on that all its strings have; cover: of
+    the bytes of all its strings.
+    """
+    window, _ = shape(min_len)
 
     def run(batches):
         for table in text_chunks(batches, CHUNK):
             f = Anchors(_bytes(table), min_len)
             own = f.doc[f.use]
-            base = f.bytes.begin[own]
             pos = f.pos[f.use]
-            cover = f.bytes.hash(f.start, f.end + min_len, (pos - f.start) * 65536 + (f.end - f.start))
+            near, far = pos - f.end, pos - f.start
             take = pa.array(own)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(f.key.view(np.int64)),
                     table.column("doc_id").combine_chunks().take(take),
                     table.column("text_hash").combine_chunks().take(take),
-                    *(pa.array((x - base).astype(np.int32)) for x in (pos, f.start, f.end)),
-                    pa.array(cover.view(np.int64)),
+                    pa.array(place_of(pos - f.bytes.begin[own], near, far)),
+                    pa.array(f.bytes.hash(pos, pos + min_len - (window - 1), 3).view(np.int64)),
+                    pa.array(f.bytes.hash(f.start, f.end + min_len, near * 65536 + far).view(np.int64)),
                 ],
-                names=["key", "doc_id", "text_hash", "pos", "first", "last", "cover"],
+                names=["key", "doc_id", "text_hash", "place", "core", "cover"],
             )
 
-    return docs.mapInArrow(run, "key long, doc_id long, text_hash long, pos int, first int, last int, cover long")
+    return docs.mapInArrow(run, "key long, doc_id long, text_hash long, place long, core long, cover long")
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -306,71 +324,104 @@ def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(right) if small else right, on, how)
 
 
-def single_starts(docs: DataFrame, lists: DataFrame, min_len: int) -> DataFrame:
-    """(key, shift, window, doc_id, text_hash, start, weight): every start of the listed ranges with the hash of its min_len bytes."""
+def pieces_of_ranges(docs: DataFrame, lists: DataFrame, min_len: int, block: int) -> DataFrame:
+    """The listed ranges cut at multiples of ``block`` distances: each piece with its core, cover, document and weight.
+
+    With block 1 a piece is one string.
+    """
 
     def run(batches):
-        for table in text_chunks(batches, CHUNK // 4):
+        for table in text_chunks(batches, CHUNK):
             by = Bytes(_bytes(table))
             ranges = table.column("ranges").combine_chunks()
             sizes = ranges.value_lengths().to_numpy()
             flat = ranges.flatten()
-            key, pos, first, last, weight = (flat.field(c).to_numpy() for c in ("key", "pos", "first", "last", "weight"))
+            core, place, weight = (flat.field(c).to_numpy() for c in ("core", "place", "weight"))
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            n = (last - first + 1).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            start = ragged(first.astype(np.int64), n)
-            at = by.begin[doc[row]] + start
-            for i in range(0, len(row), 100_000):
-                r, s, a = row[i : i + 100_000], start[i : i + 100_000], at[i : i + 100_000]
-                take = pa.array(doc[r])
+            pos, near, far = parts_of(place)
+            n = far // block - near // block + 1
+            ids, texts = table.column("doc_id").combine_chunks(), table.column("text_hash").combine_chunks()
+            step = max(1, 100_000 // int(max(1, n.max(initial=1))))
+            for i in range(0, len(n), step):
+                cut = slice(i, i + step)
+                row = np.repeat(np.arange(len(n))[cut], n[cut])
+                part = ragged((near // block)[cut], n[cut])
+                lo, hi = np.maximum(near[row], part * block), np.minimum(far[row], part * block + block - 1)
+                at = by.begin[doc[row]] + pos[row]
+                inner = by.hash(at - part * block, at - (part * block + block - 1) + min_len, part)
+                outer = by.hash(at - hi, at - lo + min_len, (lo - part * block) * 65536 + hi - part * block)
+                take = pa.array(doc[row])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key[r]),
-                        pa.array((pos[r] - s).astype(np.int32)),
-                        pa.array(by.hash(a, a + min_len).view(np.int64)),
-                        table.column("doc_id").combine_chunks().take(take),
-                        table.column("text_hash").combine_chunks().take(take),
-                        pa.array(s.astype(np.int32)),
-                        pa.array(weight[r]),
+                        pa.array(_mix(core[row].view(np.uint64) ^ inner).view(np.int64)),
+                        pa.array(outer.view(np.int64)),
+                        ids.take(take),
+                        texts.take(take),
+                        pa.array(place_of(pos[row], lo, hi)),
+                        pa.array(weight[row]),
                     ],
-                    names=["key", "shift", "window", "doc_id", "text_hash", "start", "weight"],
+                    names=["core", "cover", "doc_id", "text_hash", "place", "weight"],
                 )
 
     picked = with_lists(docs, lists, "inner").select("doc_id", "text_hash", "text", "ranges")
-    return picked.mapInArrow(run, "key long, shift int, window long, doc_id long, text_hash long, start int, weight long")
+    return picked.mapInArrow(run, "core long, cover long, doc_id long, text_hash long, place long, weight long")
+
+
+def decide(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges (core, cover, doc_id, text_hash, place, weight) that repeat as a whole, and those still open.
+
+    weight counts what a row stands for.  Of equal covers one goes on, with their
+    weights.  A core that occurs once settles its range: no string of it repeats.
+    """
+    whole, _ = save(found.groupBy("core", "cover").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "text_hash", "place")).alias("one")))
+    repeated = whole.where("weight > 1").select("core", "cover")
+    mixed = whole.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("weight").alias("least")).where("kinds > 1 and least = 1").select("core")
+    settled = found.where("weight = 1").join(repeated, ["core", "cover"], "left_semi").select("doc_id", "text_hash", "place")
+    return settled, whole.join(mixed, "core").select("core", "weight", "one.*")
+
+
+def listed(ranges: DataFrame) -> DataFrame:
+    return ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("core", "place", "weight")).alias("ranges"))
+
+
+def release(spark) -> None:
+    """Let Spark remove the shuffle files of finished jobs now; the disk is not held until the driver's next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def repeated_ranges(docs: DataFrame, min_len: int) -> DataFrame:
-    """(doc_id, text_hash, spans): ranges of starts whose min_len bytes also start elsewhere."""
-    ship(docs.sparkSession)
+    """(doc_id, text_hash, places): ranges of starts whose min_len bytes also start elsewhere."""
+    spark = docs.sparkSession
+    ship(spark)
     source = keyed(docs).where(F.octet_length("text") >= min_len)
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, -(-total // BUCKET_BYTES))
     repeated, _ = save(shard_transforms(source, min_len, buckets).groupBy("bucket").applyInArrow(_merge_bucket, "key long"))
-    found, _ = save(occurrences(source, min_len).join(repeated, "key"))
-    # Ranges that are equal as a whole, and those that share only their interval.
-    whole = found.groupBy("key", "cover").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "text_hash", "pos", "first", "last")).alias("one"))
-    whole, _ = save(whole)
-    mixed = whole.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("weight").alias("least")).where("kinds > 1 and least = 1").select("key")
-    one = whole.join(mixed, "key").select("key", "weight", "one.*")
-    lists, _ = save(one.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "pos", "first", "last", "weight")).alias("ranges")))
-    starts, _ = save(single_starts(source, lists, min_len))
-    twice = starts.groupBy("key", "shift", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("key", "shift", "window")
-    singles = starts.where("weight = 1").join(twice, ["key", "shift", "window"], "left_semi").select("doc_id", "text_hash", F.col("start").alias("first"), F.col("start").alias("last"))
-    ranges = found.join(whole.where("weight > 1").select("key", "cover"), ["key", "cover"], "left_semi").select("doc_id", "text_hash", "first", "last")
-    both = ranges.union(singles)
-    return both.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-
-
-def covered(spans: list[tuple[int, int]], min_len: int) -> list[tuple[int, int]]:
-    """Maximal byte runs covered by strings of min_len at the starts in the given ranges."""
+    release(spark)
+    found, _ = save(occurrences(source, min_len).join(repeated, "key").drop("key").withColumn("weight", F.lit(1).cast("long")))
+    release(spark)
+    out = []
+    for block in (BLOCK, 1):
+        settled, open_ = decide(found)
+        out.append(settled)
+        lists, _ = save(listed(open_))
+        release(spark)
+        found, _ = save(pieces_of_ranges(source, lists, min_len, block))
+        release(spark)
+    out.append(decide(found)[0])
+    return reduce(DataFrame.union, out).groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
+
+
+def covered(places: list[int], min_len: int) -> list[tuple[int, int]]:
+    """Maximal byte runs covered by strings of min_len at the starts of the given places."""
+    pos, near, far = parts_of(np.array(places, np.int64))
     out: list[list[int]] = []
-    for a, b in sorted(spans):
+    for a, b in sorted(zip((pos - far).tolist(), (pos - near + min_len).tolist(), strict=True)):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b + min_len)
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([a, b + min_len])
+            out.append([a, b])
     return [(a, b) for a, b in out]
 
 
@@ -384,9 +435,10 @@ def cut_repeats(docs: DataFrame, min_len: int = 400, keep: tuple[str, ...] = ("d
     An empty table gives no rows; other columns are ignored.
     """
     spans, _ = save(repeated_ranges(docs, min_len))
+    release(docs.sparkSession)
     text = F.col("text").cast("string")
     own = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    joined = with_lists(own, spans, "left").select(*[f"k_{c}" for c in keep], "text", "spans")
+    joined = with_lists(own, spans, "left").select(*[f"k_{c}" for c in keep], "text", "places")
     schema = docs.select(*keep).schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
         schema = schema.add(name, kind)
@@ -394,8 +446,8 @@ def cut_repeats(docs: DataFrame, min_len: int = 400, keep: tuple[str, ...] = ("d
     def run(batches):
         for table in text_chunks(batches, CHUNK):
             cols: list[list] = [[], [], [], [], []]
-            for text, own in zip(_bytes(table), table.column("spans").to_pylist(), strict=True):
-                cuts = covered([(x["first"], x["last"]) for x in own], min_len) if own else []
+            for text, own in zip(_bytes(table), table.column("places").to_pylist(), strict=True):
+                cuts = covered(own, min_len) if own else []
                 kept, at = [], 0
                 for a, b in cuts:
                     kept.append(text[at:a])
