@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from pagewright.queries import ORACLE, QUERIES
@@ -12,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 def plain(df):
     df = df[sorted(df.columns)].astype(object)
-    fix = lambda v: None if v is None or v != v else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v
+    fix = lambda v: None if pd.isna(v) else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v
     return sorted(str(tuple(map(fix, r))) for r in df.itertuples(index=False, name=None))
 
 
