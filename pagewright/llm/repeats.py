@@ -33,15 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import save, ship, text_chunks
+from pagewright.llm.common import drop, save, ship, text_chunks
 from pagewright.llm.wordsplit import ragged
 
 CHUNK = 1_500_000
 GRAM = 16
 #: Starts in a block of the exact check.
 BLOCK = 10
-#: Per-document lists up to this many bytes in all are broadcast, larger ones joined by shuffle.
-BROADCAST_BYTES = 16 << 20
 #: Input bytes for each group of first phrases.
 BUCKET_BYTES = 8 << 20
 
@@ -317,11 +315,9 @@ def occurrences(docs: DataFrame, min_len: int) -> DataFrame:
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Join documents with per-document lists by doc_id and text; broadcast only if the lists are small."""
-    small = (lists.agg(F.sum(F.lit(32) + 32 * F.size(lists.columns[-1]))).first()[0] or 0) <= BROADCAST_BYTES
+    """Join documents with per-document lists by doc_id and text; by shuffle at any size, as the lists grow with the input."""
     right = lists.withColumnsRenamed({"doc_id": "k_id", "text_hash": "k_hash"})
-    on = docs["doc_id"].eqNullSafe(F.col("k_id")) & (docs["text_hash"] == F.col("k_hash"))
-    return docs.join(F.broadcast(right) if small else right, on, how)
+    return docs.join(right, docs["doc_id"].eqNullSafe(F.col("k_id")) & (docs["text_hash"] == F.col("k_hash")), how)
 
 
 def pieces_of_ranges(docs: DataFrame, lists: DataFrame, min_len: int, block: int) -> DataFrame:
@@ -397,17 +393,19 @@ def repeated_ranges(docs: DataFrame, min_len: int) -> DataFrame:
     source = keyed(docs).where(F.octet_length("text") >= min_len)
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, -(-total // BUCKET_BYTES))
-    repeated, _ = save(shard_transforms(source, min_len, buckets).groupBy("bucket").applyInArrow(_merge_bucket, "key long"))
+    repeated, repeated_at = save(shard_transforms(source, min_len, buckets).groupBy("bucket").applyInArrow(_merge_bucket, "key long"))
     release(spark)
     found, _ = save(occurrences(source, min_len).join(repeated, "key").drop("key").withColumn("weight", F.lit(1).cast("long")))
+    drop(spark, repeated_at)
     release(spark)
     out = []
     for block in (BLOCK, 1):
         settled, open_ = decide(found)
         out.append(settled)
-        lists, _ = save(listed(open_))
+        lists, lists_at = save(listed(open_))
         release(spark)
         found, _ = save(pieces_of_ranges(source, lists, min_len, block))
+        drop(spark, lists_at)
         release(spark)
     out.append(decide(found)[0])
     return reduce(DataFrame.union, out).groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
