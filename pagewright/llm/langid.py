@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from pagewright.llm.common import ship, text_chunks, texts_of
 from pagewright.llm.wordsplit import LETTER, classes, split
 
-CHUNK = 8_000_000
+CHUNK = 2_000_000
 #: Log probability lost with each step to a shorter n-gram.
 BACKOFF = math.log(0.4)
 
@@ -132,7 +132,7 @@ class Scorer:
                     break
             else:
                 total, at = total + m.floor, at + 1
-        if len(self.seen) > 200_000:
+        if len(self.seen) > 60_000:
             self.seen.clear()
         self.seen[word] = total
         return total
@@ -148,11 +148,15 @@ class Scorer:
                 letter[i] = 1
                 if m.langs:
                     table[i] = self.word(w)
-        per, has = table[got.codes], letter[got.codes]
-        per[got.last], has[got.last] = 0, 0
-        cum = np.concatenate([np.zeros((1, per.shape[1])), np.cumsum(per, 0)])
-        n = np.concatenate([[0], np.cumsum(has)])
-        sums, words = cum[got.last] - cum[got.first], n[got.last] - n[got.first]
+
+        def by_text(values: np.ndarray) -> np.ndarray:
+            per = values[got.codes]
+            per[got.last] = 0  # what stands between texts
+            cum = np.concatenate([[0], np.cumsum(per)])
+            return cum[got.last] - cum[got.first]
+
+        words = by_text(letter)
+        sums = np.stack([by_text(column) for column in table.T], 1)  # a language at a time, to save memory
         best = sums.argmax(1)  # ties: the first in order of name
         share = 1 / np.exp(np.clip(sums - sums.max(1, keepdims=True), -700, 0)).sum(1)
         known = (words > 0) & bool(m.langs)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import save, ship, text_chunks, texts_of
 
-CHUNK = 6_000_000
+CHUNK = 2_000_000
 
 
 def line_hashes(text: str) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import drop, save, ship, text_chunks
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Trees, hash values in a tree's order, and the depths of its regions.
 TREES, DEPTH, REGIONS = 20, 6, (3, 4, 6)
 #: Further hash values, one byte of each, to rule candidates out; a pair at 0.8 agrees on 51.2 of 64 on average, deviation 3.2.
@@ -122,33 +122,36 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
 
-def _agree(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b as structs of set_id, n, sketch) that may reach the threshold, with their agreement; a's id the smaller."""
+PAIR = "a binary, b binary, same int"
+
+
+def _may_agree(a: pa.StructArray, b: pa.StructArray, threshold: float) -> pa.RecordBatch:
+    """Of pairs (structs of set_id, n, sketch) those that may reach the threshold, with their agreement; a's id the smaller."""
     least = int(SKETCH * threshold - 4.8 * (SKETCH * threshold * (1 - threshold)) ** 0.5)
 
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            if batch.num_rows == 0:
-                continue
+    def part(x):
+        return np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH), x.field("n").to_numpy()
 
-            def part(x):
-                return np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH), x.field("n").to_numpy()
+    (sa, na), (sb, nb) = part(a), part(b)
+    same = (sa == sb).sum(1)
+    ok = np.flatnonzero((same >= least) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9))
+    ids = [sorted(p) for p in zip(a.field("set_id").take(pa.array(ok)).to_pylist(), b.field("set_id").take(pa.array(ok)).to_pylist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in ids], pa.binary()), pa.array([p[1] for p in ids], pa.binary()), pa.array(same[ok].astype(np.int32))], names=["a", "b", "same"])
 
-            (sa, na), (sb, nb) = part(a), part(b)
-            same = (sa == sb).sum(1)
-            ok = np.flatnonzero((same >= least) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9))
-            ia, ib = a.field("set_id").take(pa.array(ok)).to_pylist(), b.field("set_id").take(pa.array(ok)).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([min(p) for p in zip(ia, ib, strict=True)], pa.binary()), pa.array([max(p) for p in zip(ia, ib, strict=True)], pa.binary()), pa.array(same[ok].astype(np.int32))],
-                names=["a", "b", "same"],
-            )
 
-    return pairs.select("x", "y").mapInArrow(run, "a binary, b binary, same int")
+def _agree(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) that may reach the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield _may_agree(batch.column(0), batch.column(1), threshold)
+
+    return pairs.select("x", "y").mapInArrow(run, PAIR)
 
 
-def _neighbours(rows: DataFrame, least: int, reach: int = 2) -> DataFrame:
-    """Pairs at up to ``reach`` places in a tree's order with ``least`` leading values in common.
+def _neighbours(rows: DataFrame, least: int, threshold: float, reach: int = 2) -> DataFrame:
+    """Pairs at up to ``reach`` places in a tree's order with ``least`` leading values in common, that may reach the threshold.
 
     The order is dealt by range over all of (tree, order, set_id), so a region of
     many equal orders is spread over tasks like any other rows.
@@ -165,11 +168,11 @@ def _neighbours(rows: DataFrame, least: int, reach: int = 2) -> DataFrame:
                     if t == tree and p == path[:cut]:
                         x.append(other), y.append(node)
                 held = [*held[1 - reach :], (tree, path[:cut], node)]
-            kind = batch.column(2).type
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind)], names=["x", "y"])
+            if x:
+                kind = batch.column(2).type
+                yield _may_agree(pa.array(x, kind), pa.array(y, kind), threshold)
 
-    node = "struct<set_id:binary,n:bigint,sketch:binary>"
-    return dealt.select("tree", "path", F.struct("set_id", "n", "sketch").alias("node")).mapInArrow(run, f"x {node}, y {node}")
+    return dealt.select("tree", "path", F.struct("set_id", "n", "sketch").alias("node")).mapInArrow(run, PAIR)
 
 
 def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -190,7 +193,7 @@ def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     weight = live.select("set_id", prefix(DEPTH).alias("region")).join(deep, "region").groupBy("set_id").agg(F.sum("size").alias("weight"))
     weighed, weighed_at = save(live.join(weight, "set_id"))
     node = F.struct("set_id", "n", "sketch")
-    found = [_agree(_neighbours(live, REGIONS[0]), threshold)]
+    found = [_neighbours(live, REGIONS[0], threshold)]
     for d in REGIONS:
         own = weighed.select(prefix(d).alias("region"), node.alias("x"), "weight")
         pivot = own.groupBy("region").agg(F.max_by("x", F.struct("weight", F.col("x.set_id"))).alias("y"), F.count(F.lit(1)).alias("size")).where("size > 1")

@@ -27,7 +27,7 @@ from pagewright.llm.common import save, ship, text_chunks, texts_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MEMBERS = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
-CHUNK = 6_000_000
+CHUNK = 2_000_000
 
 
 def cut(docs: DataFrame, tokenizer: str, limit: int, end_id: int = 0) -> DataFrame:

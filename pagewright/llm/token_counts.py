@@ -22,7 +22,7 @@ from pagewright.llm.common import ship, text_chunks, texts_of
 from pagewright.llm.wordsplit import raw_bytes, split
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-CHUNK = 6_000_000
+CHUNK = 4_000_000
 #: Words with more bytes are done one by one.
 LONG = 64
 
