@@ -30,10 +30,12 @@ def exact_duplicates(docs: DataFrame, prefix: int = 256, normalise=lambda text:
     by_length = base.groupBy(length.alias("n")).count().where("count > 1").select("n")
     second = base.select(length.alias("n"), head.alias("h")).join(by_length, "n", "left_semi")
     by_head = second.groupBy("n", "h").count().where("count > 1").select("n", "h", F.lit(True).alias("survives"))
-    # Full content only for what survived both; each (text, doc_id) once, with its number of rows.
-    keyed = base.select("doc_id", "t", length.alias("n"), head.alias("h")).join(by_head, ["n", "h"], "left")
+    # Full content only for what survived both, unless every row's digest is asked for: then the scan makes it and
+    # no text is shuffled.  Each (text, doc_id) once, with its number of rows.
     digest = F.sha2("t", 256)
-    rows = keyed.select("doc_id", "survives", (digest if with_sha else F.when(F.col("survives"), digest)).alias("text_sha256"))
+    carried = digest.alias("text_sha256") if with_sha else F.col("t")
+    keyed = base.select("doc_id", carried, length.alias("n"), head.alias("h")).join(by_head, ["n", "h"], "left")
+    rows = keyed.select("doc_id", "survives", F.col("text_sha256") if with_sha else F.when(F.col("survives"), digest).alias("text_sha256"))
     rows = rows.groupBy("doc_id", "text_sha256", "survives").agg(F.count(F.lit(1)).alias("copies"))
     groups = (
         rows.where("survives")
