@@ -1,13 +1,13 @@
-"""Repeated runs of lines, found by winnowing over line hashes.
+"""Repeated runs of lines, found by the hashes of all grams of lines.
 
-Grams of ``gram`` consecutive lines are hashed; of every ``window`` grams in a
-row the least is a fingerprint, so any run of ``gram + window - 1`` lines shared
-by two places has a fingerprint in common.  Fingerprints are joined to their
-first occurrence in document order, and the match is extended both ways over the
-lines of both documents.  Of a repeated run every later occurrence goes.
+Every run of ``gram`` consecutive lines that does not consist of blank lines alone
+is hashed and looked up in the table of first occurrences; where it stands at a
+later place, its lines go.  A longer run repeats if and only if each of its grams
+does, so all later occurrences of all repeats of ``gram`` lines or more are found,
+whatever stands around them and whatever document held a part of them first.
 
-Each place is joined with one earlier place only, never with all that share its
-fingerprint, and what travels is line hashes, not text.
+Each gram is joined with one row, never with all that share its hash, and what
+travels is hashes and places, not text.  Equal means equal in 64 bits.
 """
 
 from __future__ import annotations
@@ -49,102 +49,108 @@ def fingerprints(lines: np.ndarray, gram: int, window: int) -> tuple[np.ndarray,
     return at, key[at]
 
 
+def grams(lines: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From, to and hash of all runs to look up: the grams with a line that is not blank, and blank grams with the next such line.
+
+    A blank gram repeats with the nearest other line before it, or after it, so it
+    is carried on to each; its run is known by that line, its length and its side.
+    """
+    at, key = fingerprints(lines, gram, 1)
+    start, end = [at], [at + gram]
+    keys = [key]
+    blank = np.setdiff1d(np.arange(len(lines) - gram + 1), at)
+    if len(blank):
+        full = np.flatnonzero(lines)
+        k = np.searchsorted(full, blank)  # the first line after the gram that is not blank
+        for side, ok in ((1, k > 0), (2, k < len(full))):
+            p = blank[ok]
+            other = full[k[ok] - 1] if side == 1 else full[k[ok]]
+            a, b = (other, p + gram) if side == 1 else (p, other + 1)
+            x = lines[other] * np.uint64(0x9E3779B97F4A7C15) + (4 * (b - a) + side).astype(np.uint64)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            start.append(a), end.append(b), keys.append(x ^ (x >> np.uint64(29)))
+    return np.concatenate(start), np.concatenate(end), np.concatenate(keys)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Rows with what orders them: doc_id (null last), then the text's hash."""
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _scan(docs: DataFrame, gram: int, window: int) -> DataFrame:
-    """(doc_id, text_hash, lines, marks): line hashes and the fingerprints (place, hash) of each row."""
+def _scan(docs: DataFrame, gram: int) -> DataFrame:
+    """(doc_id, text_hash, a, b, mark): a row for each run [a, b) to look up."""
 
     def run(batches):
         for table in text_chunks(batches, CHUNK):
-            lines = [line_hashes(t) for t in texts_of(table)]
-            marks = [fingerprints(x, gram, window) for x in lines]
-            flat = pa.array(np.concatenate(lines).view(np.int64))
-            off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int32))
-            m_off = pa.array(np.concatenate([[0], np.cumsum([len(m[0]) for m in marks])]).astype(np.int32))
-            m = pa.StructArray.from_arrays([pa.array(np.concatenate([m[0] for m in marks]).astype(np.int32)), pa.array(np.concatenate([m[1] for m in marks]).view(np.int64))], ["at", "mark"])
+            found = [grams(line_hashes(t), gram) for t in texts_of(table)]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+            a, b, mark = (np.concatenate([f[i] for f in found]) for i in range(3))
             yield pa.RecordBatch.from_arrays(
                 [
-                    table.column("doc_id").combine_chunks(),
-                    table.column("text_hash").combine_chunks(),
-                    pa.ListArray.from_arrays(off, flat),
-                    pa.ListArray.from_arrays(m_off, m),
+                    table.column("doc_id").combine_chunks().take(row),
+                    table.column("text_hash").combine_chunks().take(row),
+                    pa.array(a.astype(np.int32)),
+                    pa.array(b.astype(np.int32)),
+                    pa.array(mark.view(np.int64)),
                 ],
-                names=["doc_id", "text_hash", "lines", "marks"],
+                names=["doc_id", "text_hash", "a", "b", "mark"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, lines array<long>, marks array<struct<at:int,mark:long>>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, a int, b int, mark long")
 
 
-def runs(a: np.ndarray, b: np.ndarray, shift: int, least: int, same: bool) -> list[tuple[int, int]]:
-    """Runs [from, to) of at least ``least`` lines of a that equal b's lines ``shift`` places before; at least one not blank."""
-    lo, hi = max(0, shift), min(len(a), len(b) + shift)
-    if hi - lo < least or same and shift <= 0:
-        return []
-    x, y = a[lo:hi], b[lo - shift : hi - shift]
-    eq = np.concatenate([[0], (x == y).astype(np.int8), [0]])
-    edge = np.flatnonzero(np.diff(eq))
-    return [(lo + p, lo + q) for p, q in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if q - p >= least and x[p:q].any()]
+def merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges [a, b) joined where they meet, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(cuts):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
-def repeated_lines(docs: DataFrame, gram: int = 3, window: int = 3) -> DataFrame:
-    """(doc_id, text_hash, cut): line ranges that repeat an earlier run of at least ``gram`` lines."""
+def repeated_lines(docs: DataFrame, gram: int = 3) -> DataFrame:
+    """(doc_id, text_hash, cut): line ranges, disjoint and in order, that repeat earlier runs of at least ``gram`` lines."""
     ship(docs.sparkSession)
-    own = keyed(docs).where(F.size(F.split("text", "\n", gram)) >= gram)  # fewer lines have no gram
-    rows, _ = save(_scan(own, gram, window))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    marks = rows.select("doc_id", "text_hash", F.inline("marks"))
-    first = marks.groupBy("mark").agg(F.min(F.struct(order.alias("o"), F.col("at").alias("at"))).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    place = F.struct(order.alias("o"), F.col("at").alias("at"))
-    later = marks.join(first, "mark").where(place > F.col("f"))
-    pairs = later.select(
-        "doc_id", "text_hash", F.col("f.o.doc_id").alias("b_id"), F.col("f.o.text_hash").alias("b_hash"), (F.col("at") - F.col("f.at")).alias("shift")
-    ).distinct()
-    # Lines of both documents; rows of one doc_id and text have the same lines.
-    lines = rows.groupBy("doc_id", "text_hash").agg(F.first("lines").alias("lines"))
-    b = lines.select(F.col("doc_id").alias("b_id2"), F.col("text_hash").alias("b_hash2"), F.col("lines").alias("b_lines"))
-    met = pairs.join(b, F.col("b_id").eqNullSafe(F.col("b_id2")) & (F.col("b_hash") == F.col("b_hash2"))).select("doc_id", "text_hash", "b_id", "b_hash", "shift", "b_lines")
-    a = lines.select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), "lines")
-    both = met.join(a, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash")))
-    same = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash"))
+    own = keyed(docs).where(F.size(F.split("text", "\n", gram)) >= gram)  # fewer lines hold no run
+    rows, _ = save(_scan(own, gram))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "a")
+    first = rows.groupBy("mark").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = rows.join(first, "mark").where(place > F.col("f"))
+    found = later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("cut"))
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for i, t, la, lb, s, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if got := runs(np.array(la, np.int64), np.array(lb, np.int64), s, gram, z):
-                    for c, v in zip(out, (i, t, [{"a": p, "b": q} for p, q in got]), strict=True):
-                        c.append(v)
+            cuts = [[{"a": a, "b": b} for a, b in merged([(c["a"], c["b"]) for c in x])] for x in batch.column(2).to_pylist()]
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), kind), strict=True)], names=["doc_id", "text_hash", "cut"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, kind)], names=["doc_id", "text_hash", "cut"])
 
-    found = both.select("doc_id", "text_hash", "lines", "b_lines", "shift", same.alias("same")).mapInArrow(run, "doc_id long, text_hash long, cut array<struct<a:int,b:int>>")
-    return found.select("doc_id", "text_hash", F.explode("cut").alias("c")).groupBy("doc_id", "text_hash").agg(F.collect_set("c").alias("cut"))
+    return found.mapInArrow(run, "doc_id long, text_hash long, cut array<struct<a:int,b:int>>")
 
 
-def drop_repeated_lines(docs: DataFrame, gram: int = 3, window: int = 3) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, gram: int = 3) -> DataFrame:
     """The rows of ``docs`` with ``kept_text`` and ``n_removed`` (lines) besides their columns.
 
     Lines equal but for white space at their ends count as equal, blank lines
     too, though not runs of blank lines alone.  Earlier is: by doc_id (null
     last), the text's hash, and place in the text; rows that repeat a doc_id and
-    text are one document and stay alike.  Runs of ``gram + window - 1`` lines or
-    more are found for certain, shorter ones of at least ``gram`` when they share
-    a fingerprint; for a line that occurs in several earlier places only the
-    first place of each fingerprint is extended.  Null text stays null; an empty
-    table gives no rows.
+    text are one document and stay alike.  Of every run of ``gram`` lines or more
+    all later occurrences are found; shorter ones stay.  Null text stays null; an
+    empty table gives no rows.
     """
     ship(docs.sparkSession)
-    cuts, _ = save(repeated_lines(docs, gram, window))
+    cuts, _ = save(repeated_lines(docs, gram))
     names = docs.columns
     tagged = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.col("text").cast("string"))})
     right = cuts.withColumnsRenamed({"doc_id": "__c_id", "text_hash": "__c_hash", "cut": "__cut"})
-    joined = tagged.join(right, tagged["__id"].eqNullSafe(F.col("__c_id")) & (F.col("__hash") == F.col("__c_hash")), "left").select(*[tagged[c] for c in names], "__cut")
+    joined = tagged.join(right.hint("merge"), tagged["__id"].eqNullSafe(F.col("__c_id")) & (F.col("__hash") == F.col("__c_hash")), "left").select(*[tagged[c] for c in names], "__cut")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, i: ~F.exists("__cut", lambda c: (i >= c["a"]) & (i < c["b"])))
+    # What lies between the cuts, each as one slice.
+    starts = F.concat(F.array(F.lit(0)), F.transform("__cut", lambda c: c["b"]))
+    ends = F.concat(F.transform("__cut", lambda c: c["a"]), F.array(F.size(lines)))
+    kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda k: F.slice(lines, k["a"] + 1, k["b"] - k["a"])))
     has = F.col("__cut").isNotNull()
     return joined.withColumns(
         {

@@ -177,3 +177,39 @@ def test_every_long_run_has_a_fingerprint_in_common():
             at, key = line_dedup.fingerprints(np.array(lines, np.uint64), 3, 3)
             marks.append(set(key.tolist()))
         assert marks[0] & marks[1]
+
+
+def brute_lines(rows, gram=3):
+    """By definition: for every place, the runs from it that stand at an earlier place and are not blank alone."""
+    lines = [(i, [x.strip() for x in t.split("\n")]) for i, t in sorted(rows)]
+    out = {}
+    for d, (i, a) in enumerate(lines):
+        gone = [False] * len(a)
+        for e in range(d + 1):
+            b = lines[e][1]
+            for p in range(len(a)):
+                for q in range(p if e == d else len(b)):
+                    n = 0
+                    while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                        n += 1
+                    if n >= gram and any(a[p : p + n]):
+                        gone[p : p + n] = [True] * n
+        text = dict(rows)[i].split("\n")
+        out[i] = ("\n".join(x for x, g in zip(text, gone, strict=True) if not g), sum(gone))
+    return out
+
+
+def lines_of(docs, rows):
+    return {r["doc_id"]: (r["kept_text"], r["n_removed"]) for r in line_dedup.drop_repeated_lines(docs(rows)).collect()}
+
+
+def test_runs_of_three_lines_are_all_found(docs):
+    r = random.Random(4)
+    text = lambda n: [f"own {r.random()}" for _ in range(n)]
+    rows = []
+    for k in range(40):
+        run = [f"run {k} {j}" for j in range(3)]
+        rows += [(2 * k + j, "\n".join([*text(r.randint(3, 9)), *run, *text(r.randint(3, 9))])) for j in range(2)]
+    got = lines_of(docs, rows)
+    assert [got[2 * k + 1][1] for k in range(40)] == [3] * 40
+    assert got == brute_lines(rows)
