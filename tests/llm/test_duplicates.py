@@ -213,3 +213,17 @@ def test_runs_of_three_lines_are_all_found(docs):
     got = lines_of(docs, rows)
     assert [got[2 * k + 1][1] for k in range(40)] == [3] * 40
     assert got == brute_lines(rows)
+
+
+def test_a_part_that_an_early_document_holds_does_not_hide_the_whole_run(docs):
+    p, q, r, s, t = (f"{x} line" for x in "pqrst")
+    rows = [(1, "\n".join(["a", p, q, r, "b"])), (2, "\n".join(["c", p, q, r, s, t, "d"])), (3, "\n".join(["e", p, q, r, s, t, "f"])), (4, "\n".join(["g", q, r, s, "h"]))]
+    got = lines_of(docs, rows)
+    assert got == brute_lines(rows) and got[3] == ("e\nf", 5) and got[2] == (f"c\n{s}\n{t}\nd", 3)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_against_brute_force(docs, seed):
+    r = random.Random(seed)
+    rows = [(i, "\n".join(r.choices(["x", " y", "z ", "", "", f"own {i}"], k=r.randint(0, 40)))) for i in range(25)]
+    assert lines_of(docs, rows) == brute_lines(rows)
