@@ -247,14 +247,16 @@ def main_text(blocks: list[Block], template: set[int], by_mass: list[int]) -> li
 
     That is an article element, else main, else the innermost template container
     with at least half of the page's remaining text; else all that is not around
-    the main text.  Outside an article, blocks that the template holds as
-    constant text are not main text.
+    the main text.  Blocks that the template holds as constant text are not main
+    text, in an article neither; only an article of which nothing else is left
+    (the same page many times on a host) stays as it is.
     """
     own = [b for b in blocks if not (b.box.hard or b.box.soft)]
+    slots = [b for b in own if key_of("text", str(b.boxes[-1]), b.text) not in template]
     for level in (2, 1):
         if inside := [b for b in own if b.box.region >= level]:
-            return [b.text for b in inside]
-    own = [b for b in own if key_of("text", str(b.boxes[-1]), b.text) not in template]
+            return [b.text for b in slots if b.box.region >= level] or [b.text for b in inside]
+    own = slots
     whole = sum(len(b.text) for b in own)
     best = own
     for k in by_mass:

@@ -58,6 +58,18 @@ def test_html(spark):
     assert html_extract.extract(table).count() == len(rows) and html_extract.extract(table.limit(0)).count() == 0
 
 
+def test_html_takes_constant_text_out_of_articles(spark):
+    body = "<article><h1>Head {0}</h1><p>Text of page {0}.</p><p>Pass this on to a friend</p><div class='x'>Join 5,000 readers</div></article>"
+    rows = [(i, f"http://c.org/{i}", page(body.format(i))) for i in range(6)]
+    rows += [(10 + i, f"http://d.org/{i}", page(body.format(i).replace("article", "main"))) for i in range(4)]
+    rows += [(20 + i, "http://e.org/same", page(body.format(0))) for i in range(4)]  # all of it is constant: nothing tells the text
+    rows += [(30 + i, f"http://f.org/{i}", page(body.format(i))) for i in range(2)]  # too few pages for a template
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    full = "Head {0}\nText of page {0}.\nPass this on to a friend\nJoin 5,000 readers"
+    for i, text in got.items():
+        assert text == ("Head {0}\nText of page {0}." if i < 20 else full).format(0 if 20 <= i < 30 else i % 10)
+
+
 def test_html_long_page():
     blocks, _ = html_extract.read_page("<article>" + "<p>x y" * 50_000)
     assert len(blocks) == 50_000
