@@ -1,4 +1,6 @@
+import hashlib
 import os
+import re
 
 import duckdb
 import pandas as pd
@@ -34,3 +36,14 @@ def test_query(spark, db, name):
         assert plain(got) == plain(want)
     else:
         assert len(got)
+
+
+def test_paragraph_batches_keeps_runs_of_blanks(spark, tmp_path):
+    texts = ["a b\nc", "  two  and   three\n & <x>", " \n".join(f"l{i}  " for i in range(70)), "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n"], r["digest"]) for r in QUERIES["paragraph_batches"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        lines = (t or "").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").split("\n")
+        lines = [re.sub(" {2,}", lambda m: "&nbsp;" * len(m[0]), x) for x in lines]
+        n = -(-len(lines) // 30) if t is not None else 0
+        assert got[i] == (n, hashlib.md5("<br/>".join(lines).encode()).hexdigest())
