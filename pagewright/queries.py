@@ -490,8 +490,8 @@ def text_norm(spark, d):
 
 @query()
 def html_table_norm(spark, d):
-    html = F.concat(F.lit("<table class=\"a\"><thead><tr><th>"), F.substring("url", 1, 200), F.lit("</th></tr></thead></table>"))
-    return table(spark, d, "pages").select("page_id", T.normalise_html_table(html).alias("table"))
+    of_url = F.concat(F.lit("<table class=\"a\"><thead><tr><th>"), "url", F.lit("</th></tr></thead></table>"))
+    return table(spark, d, "pages").select("page_id", T.normalise_html_table(F.col("html")).alias("table"), T.normalise_html_table(of_url).alias("url_table"))
 
 
 @query()

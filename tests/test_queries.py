@@ -47,3 +47,13 @@ def test_paragraph_batches_keeps_runs_of_blanks(spark, tmp_path):
         lines = [re.sub(" {2,}", lambda m: "&nbsp;" * len(m[0]), x) for x in lines]
         n = -(-len(lines) // 30) if t is not None else 0
         assert got[i] == (n, hashlib.md5("<br/>".join(lines).encode()).hexdigest())
+
+
+def test_html_table_norm_reads_whole_pages_and_urls(spark, tmp_path):
+    url = "http://a.org/" + "x" * 300
+    html = "<html><body><p>" + "y" * 500 + '</p><table class="b"><thead><tr><th>1</th></tr></thead></table><p>z</p></body></html>'
+    rows = [(1, url, html), (2, url, "<p>no"), (3, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["table"], r["url_table"]) for r in QUERIES["html_table_norm"](spark, str(tmp_path)).collect()}
+    plain = '<html><body><table border="1" ><tr><td>{}</td></tr></table></body></html>'
+    assert got == {1: (plain.format(1), plain.format(url)), 2: ("", plain.format(url)), 3: (None, None)}
