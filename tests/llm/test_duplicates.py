@@ -66,6 +66,36 @@ def test_near_against_brute_force(docs, width):
     assert all(x["kept"] == (i == want[i]) for i, x in got.items())
 
 
+def test_near_pairs_in_a_family_just_below_the_threshold(docs):
+    r = random.Random(8)
+    base, rows = [f"b{k}" for k in range(2000)], []
+    spots = range(6, 2000, 12)  # words that differ from member to member, five forms of each
+    for i in range(600):  # members at about 0.77 to each other
+        w = list(base)
+        for k in spots:
+            w[k] = f"m{k}_{r.randrange(5)}"
+        rows.append((i, " ".join(w)))
+    for i in range(60):  # each of these is linked with one member
+        w = rows[10 * i][1].split()
+        for k in r.sample(spots, 105):
+            w[k] = f"m{k}_{(int(w[k][-1]) + r.randrange(1, 5)) % 5}"
+        rows.append((2000 + i, " ".join(w)))
+    sets = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in rows}
+    near = [(i, 10 * (i - 2000)) for i in range(2000, 2060)]
+    assert all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in near)
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs(rows), 2, 80).collect()}
+    assert [a for a, b in near if got[a] != got[b]] == []
+
+
+def test_linked_both_ways_of_counting():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60, 50)) for _ in range(30)]
+    left, right = np.triu_indices(30, 1)
+    want = [100 * len(np.intersect1d(sets[i], sets[j])) >= 40 * len(np.union1d(sets[i], sets[j])) for i, j in zip(left, right, strict=True)]
+    assert near_dedup.linked(sets, left, right, 40).tolist() == want and any(want) and not all(want)
+    assert near_dedup.linked(sets, left[:9], right[:9], 40).tolist() == want[:9]
+
+
 def test_near_edges(docs):
     assert near_dedup.near_duplicates(docs([])).count() == 0
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "z")]
