@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,28 +51,114 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) is a temporary folder used.
+    A session without that setting gets a temporary folder where master is
+    ``local``, and an error elsewhere: executors do not see each other's disks.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_pagewright_dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="pagewright-shared")
         sc._pagewright_dir = named
     return named.rstrip("/")
 
 
+#: Spark then removes a query's shuffle files as soon as its result is written.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table goes when :func:`drop` is called, at the latest when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a table that :func:`save` wrote and no plan needs any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that :func:`save` wrote and no plan needs any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Values of a key with more than this share of the rows (so fewer than 1,000 values) are joined by broadcast.
+HOT_SHARE = 1000
+
+
+def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each key once and in ``n`` the number of rows it will meet.
+
+    A key that holds more than a thousandth of all those rows would make one
+    task of them.  There are fewer than a thousand such keys whatever the data,
+    so their part of ``table`` is broadcast; the rest is an ordinary join.
+    ``table`` is read three times: give a saved one.  ``n`` is left out.
+    """
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.col(n) * HOT_SHARE > total
+    some = F.broadcast(table.where(hot).drop(n))
+    rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(some, keys).unionByName(rest.join(table.where(~hot).drop(n).hint("merge"), keys))
+
+
+#: 64-bit words of the filter that tells which rows may have a partner: 2 MiB, whatever the tables hold.
+FILTER_WORDS = 1 << 18
+
+
+def _filter_bits(key: Column) -> list[Column]:
+    """Two places in the filter."""
+    bits = 64 * FILTER_WORDS
+    return [F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits)) for seed in (3, 4)]
+
+
+def key_filter(table: DataFrame, key: Column) -> Column:
+    """A Bloom filter of the keys, as a scalar subquery with one bit array of fixed size."""
+    bit = table.select(F.explode(F.array(*_filter_bits(key))).alias("bit"))
+    word = F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))")
+    words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(word.alias("set"))
+    dense = table.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("word")).join(words, "word", "left")
+    pairs = F.array_sort(F.collect_list(F.struct("word", F.coalesce("set", F.lit(0).cast("long")).alias("set"))))
+    return dense.agg(F.transform(pairs, lambda x: x["set"]).alias("bits")).scalar()
+
+
+def may_be_in(bits: Column, key: Column) -> Column:
+    """Whether the filter may hold the key; never false for one that it was made of."""
+    tests = [F.getbit(F.get(bits, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1 for b in _filter_bits(key)]
+    return tests[0] & tests[1]
+
+
+def doc_key(doc_id: Column, text_hash: Column) -> Column:
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("null")), text_hash)
+
+
+def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Join rows (doc_id, text_hash, ...) with a saved table that has a row for some (doc_id, text_hash).
+
+    ``how`` is inner, left or left_anti.  A filter of fixed size over the
+    table's keys decides which rows go through the join, by shuffle at any size;
+    the others stay where the scan has them, text and all.  When the table
+    outgrows the filter, more rows are shuffled, with the same result.
+    """
+    right = lists.withColumnsRenamed({"doc_id": "k_id", "text_hash": "k_hash"})
+    bits = key_filter(right, doc_key(F.col("k_id"), F.col("k_hash")))
+    may = may_be_in(bits, doc_key(F.col("doc_id"), F.col("text_hash")))
+    some = docs.where(may)
+    same = some["doc_id"].eqNullSafe(F.col("k_id")) & some["text_hash"].eqNullSafe(F.col("k_hash"))
+    joined = some.join(right.hint("merge"), same, how)
+    if how == "inner":
+        return joined.drop("k_id", "k_hash")
+    return joined.drop("k_id", "k_hash").unionByName(docs.where(~may), allowMissingColumns=True)
 
 
 def trim() -> None:
@@ -112,12 +199,3 @@ def text_chunks(batches, chars: int, column: str = "text") -> Iterator[pa.Table]
 def texts_of(table: pa.Table, column: str = "text") -> list[str]:
     """The column as Python strings, null as the empty string."""
     return [x if x is not None else "" for x in table.column(column).to_pylist()]
-
-
-def null_safe(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
-def hash_key(*cols) -> Column:
-    """A 64-bit key that tells null from empty."""
-    return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0null")) for c in cols])

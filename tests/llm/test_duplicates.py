@@ -204,7 +204,7 @@ def test_every_long_run_has_a_fingerprint_in_common():
         marks = []
         for _ in range(2):
             lines = [r.randrange(1, 50) for _ in range(r.randint(0, 8))] + run + [r.randrange(1, 50) for _ in range(r.randint(0, 8))]
-            at, key = line_dedup.fingerprints(np.array(lines, np.uint64), 3, 3)
+            _, key = line_dedup.fingerprints(np.array(lines, np.uint64), 3, 3)
             marks.append(set(key.tolist()))
         assert marks[0] & marks[1]
 
@@ -257,3 +257,39 @@ def test_lines_against_brute_force(docs, seed):
     r = random.Random(seed)
     rows = [(i, "\n".join(r.choices(["x", " y", "z ", "", "", f"own {i}"], k=r.randint(0, 40)))) for i in range(25)]
     assert lines_of(docs, rows) == brute_lines(rows)
+
+
+def test_runs_are_grouped_by_the_fingerprint_they_chose():
+    r = random.Random(2)
+    for _ in range(100):
+        lines = np.array([r.choice([0, 0, 1, 2, 3, 4]) for _ in range(r.randint(0, 30))], np.uint64)
+        at, marks = line_dedup.fingerprints(lines, 2, 2)
+        lead, mark, key, a, b = line_dedup.runs(lines, 2, 2)
+        assert set(mark.tolist()) <= set(marks.tolist()) and lead.sum() <= len(at)
+        plain = {(p, p + 3) for p in range(len(lines) - 2) if lines[p : p + 3].any()}
+        assert plain <= set(zip(a.tolist(), b.tolist(), strict=True)) and len(key) == len(a)
+
+
+def test_a_run_of_seven_is_cut_whole_where_its_middle_was_seen_before(docs):
+    r = random.Random(7)
+    rows = []
+    for k in range(200):
+        run = [f"run {k} {j}" for j in range(7)]
+        text = lambda n, k=k: [f"own {k} {r.random()}" for _ in range(n)]
+        rows += [(3 * k, "\n".join([*text(4), *run[2:5], *text(4)])), (3 * k + 1, "\n".join([*text(3), *run, *text(2)])), (3 * k + 2, "\n".join([*text(2), *run, *text(5)]))]
+    got = lines_of(docs, rows)
+    assert [got[3 * k + 2][1] for k in range(200)] == [7] * 200
+    assert [got[3 * k + 1][1] for k in range(200)] == [3] * 200
+
+
+def test_lines_edges(docs):
+    run = "\n".join(["first line", "second line", "third line"])
+    # Repeated rows are one document; a null doc_id comes last; a long text is read whole; names that clash are replaced or kept.
+    long = "\n".join(f"line {i}" for i in range(30_000))
+    rows = [(1, run), (1, run), (None, "x\n" + run), (2, long + "\n" + run), (3, "y\n" + long)]
+    table = docs(rows).selectExpr("*", "'c' AS n_removed", "'d' AS cut", "'e' AS k_id", "'f' AS text_hash", "'g' AS `row`")
+    out = line_dedup.drop_repeated_lines(table)
+    assert sorted(out.columns) == sorted([*table.columns, "kept_text"])
+    got = sorted((str(x["doc_id"]), x["n_removed"], x["kept_text"]) for x in out.collect())
+    assert got == [("1", 0, run), ("1", 0, run), ("2", 3, long), ("3", 30_000, "y"), ("None", 3, "x")]
+    assert {(x["cut"], x["k_id"], x["text_hash"], x["row"]) for x in out.collect()} == {("d", "e", "f", "g")}
