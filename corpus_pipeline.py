@@ -17,8 +17,8 @@ from pagewright.llm.common import read, save
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document's language must have this share of the posterior.
 LEAST_SHARE = 0.5
-#: Consecutive lines that make a repeated run.
-RUN_LINES = 3
+#: Lines of a gram and grams of a window: runs of three lines or more are found.
+GRAM, WINDOW = 2, 2
 #: Words of a shingle and per cent of similarity.
 SHINGLE, PERCENT = 5, 80
 #: Bytes of a repeated passage; fifty words of these languages are longer.
@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeats of runs of lines; a document of which nothing stays goes."""
-    got = line_dedup.drop_repeated_lines(docs.select(*COLUMNS), gram=RUN_LINES)
+    got = line_dedup.drop_repeated_lines(docs.select(*COLUMNS), GRAM, WINDOW)
     stays = (F.col("n_removed") == 0) | (F.trim("kept_text") != "")
     return got.where(stays).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
