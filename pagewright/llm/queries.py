@@ -58,11 +58,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+    return got.select("doc_id", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"), F.col("kept_text").alias("text"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.cut_repeats(read(spark, sf_dir, "documents"), 400).drop("kept_text")
+    return repeats.cut_repeats(read(spark, sf_dir, "documents"), 400).withColumnRenamed("kept_text", "text")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

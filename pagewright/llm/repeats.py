@@ -12,10 +12,12 @@ its first anchor.
    symbol of depth.  Block borders that appear in pass h give common prefixes of
    h - 1 symbols, and blocks that last give the repeated intervals.  No suffix is
    sorted again.
-3. An exact check on bytes follows, on the anchors of repeated intervals only.
-   All starts of an anchor are taken at once, then blocks of starts, then single
+3. A check on bytes follows, on the anchors of repeated intervals only.  All
+   starts of an anchor are taken at once, then blocks of starts, then single
    ones: a range of starts is decided as soon as the bytes that cover it repeat
-   (all of them do) or the bytes common to it do not (none does).
+   (all of them do) or the bytes common to it do not (none does).  Bytes are
+   compared by two independent 64-bit hashes, 128 bits together: no two of 10^14
+   strings are likely to clash.
 
 Shards pass on counts of distinct strings, never lists of occurrences; the
 occurrences are found again by a join that can be split.  So a passage in a third
@@ -24,7 +26,6 @@ of all documents needs no task of its own.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from functools import lru_cache, reduce
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import drop, save, ship, text_chunks
+from pagewright.llm.common import drop, save, ship, skew_join, text_chunks, with_lists
 from pagewright.llm.wordsplit import ragged
 
 CHUNK = 1_500_000
@@ -42,26 +43,29 @@ GRAM = 16
 BLOCK = 10
 #: Input bytes for each group of first phrases.
 BUCKET_BYTES = 8 << 20
+CORE, COVER = ("core", "core2"), ("cover", "cover2")
 
 
-@lru_cache(1)
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(977).integers(0, 1 << 64, 256, np.uint64)
+#: The bases of the two hashes, odd numbers without structure.
+BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
 
-_powers: dict[str, np.ndarray] = {}
-BASE = 0xD1342543DE82EF95
-INVERSE = pow(BASE, -1, 1 << 64)
+@lru_cache(2)
+def _byte_values(which: int = 0) -> np.ndarray:
+    return np.random.default_rng((977, 1409)[which]).integers(0, 1 << 64, 256, np.uint64)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def _power(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        for name, b in (("up", BASE), ("down", INVERSE)):
-            p = np.full(n, b, np.uint64)
+    if len(_powers.get((which, True), ())) < n:
+        for up in (True, False):
+            p = np.full(n, BASES[which] if up else pow(BASES[which], -1, 1 << 64), np.uint64)
             p[0] = 1
-            _powers[name] = np.cumprod(p, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+            _powers[which, up] = np.cumprod(p, dtype=np.uint64)
+    return _powers[which, True], _powers[which, False]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,18 +75,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Bytes:
-    """Texts end to end with hashes of any of their substrings."""
+    """Texts end to end with two hashes of any of their substrings."""
 
     def __init__(self, texts: list[bytes]):
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begin = np.concatenate([[0], np.cumsum(self.size)])
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        up, self.down = _power(max(1 << 20, len(self.data) + 1))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values()[self.data] * up[: len(self.data)], dtype=np.uint64)])
+        self.sums: dict[int, np.ndarray] = {}
 
-    def hash(self, a: np.ndarray, b: np.ndarray, salt=0) -> np.ndarray:
+    def hash(self, a: np.ndarray, b: np.ndarray, salt=0, which: int = 0) -> np.ndarray:
         """64-bit hashes of the bytes from a to b, told apart by length and salt."""
-        h = (self.sums[b] - self.sums[a]) * self.down[a]
+        n = len(self.data)
+        up, down = _power(max(1 << 20, n + 1), which)
+        if which not in self.sums:
+            self.sums[which] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values(which)[self.data] * up[:n], dtype=np.uint64)])
+        sums = self.sums[which]
+        h = (sums[b] - sums[a]) * down[a]
         return _mix(h ^ ((b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ _mix(np.atleast_1d(salt).astype(np.uint64) + np.uint64(1)))
 
 
@@ -106,7 +114,7 @@ class Anchors:
         while step < GRAM:  # the hash of 16 bytes out of two of 8, and so on
             nxt = np.zeros_like(h)
             nxt[: n - step] = h[step:]
-            h = _mix(h * np.uint64(BASE) + nxt)
+            h = _mix(h * np.uint64(BASES[0]) + nxt)
             step *= 2
         low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
         width = 1
@@ -236,7 +244,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def shard_transforms(docs: DataFrame, min_len: int, buckets: int) -> DataFrame:
-    """(bucket, transform, keys, counts, sizes) of each shard."""
+    """(bucket, transform, keys, counts, sizes, known) of each shard.
+
+    Strings meet by their first two phrases.  known: the keys of those that the
+    shard itself holds twice; they are decided, so the transform leaves them out,
+    and a passage that is in every shard stays a number a shard.
+    """
 
     def run(batches):
         for table in text_chunks(batches, CHUNK):
@@ -250,29 +263,31 @@ def shard_transforms(docs: DataFrame, min_len: int, buckets: int) -> DataFrame:
             flat = np.zeros(int(size.sum()), np.uint64)
             spots = ragged(np.cumsum(size) - size, size - 1)
             flat[spots] = symbols[ragged(head, size - 1)]
-            bucket = (symbols[head] >> np.uint64(8)) % np.uint64(buckets)
+            begin = np.cumsum(size) - size
+            bucket = (_mix(flat[begin] + _mix(flat[begin + 1])) >> np.uint64(8)) % np.uint64(buckets)
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) > 0, [True]]))
-            begin = np.cumsum(size) - size
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                at = int(bucket[by[a]])
                 own = by[a:b]
+                known, own = key[own[count[own] > 1]], own[count[own] == 1]
                 out, order = transform(flat[ragged(begin[own], size[own])], size[own])
                 own = own[order]
-                row = (int(bucket[own[0]]), out.tobytes(), key[own].tobytes(), count[own].astype(np.int32).tobytes(), size[own].astype(np.int32).tobytes())
+                row = (at, out.tobytes(), key[own].tobytes(), count[own].astype(np.int32).tobytes(), size[own].astype(np.int32).tobytes(), known.tobytes())
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "transform", "keys", "counts", "sizes"])
+            names = ["bucket", "transform", "keys", "counts", "sizes", "known"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.binary()] * 5), strict=True)], names=names)
 
-    return docs.select("text").mapInArrow(run, "bucket long, transform binary, keys binary, counts binary, sizes binary")
+    return docs.select("text").mapInArrow(run, "bucket long, transform binary, keys binary, counts binary, sizes binary, known binary")
 
 
 def _merge_bucket(table: pa.Table) -> pa.Table:
-    parts = [
-        tuple(np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.uint64, np.int32, np.int32), strict=True))
-        for row in zip(*(table.column(c).to_pylist() for c in ("transform", "keys", "counts", "sizes")), strict=True)
-    ]
-    return pa.table({"key": pa.array(np.unique(repeated_strings(parts)).view(np.int64))})
+    rows = zip(*(table.column(c).to_pylist() for c in ("transform", "keys", "counts", "sizes")), strict=True)
+    parts = [tuple(np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.uint64, np.int32, np.int32), strict=True)) for row in rows]
+    known = [np.frombuffer(x, np.uint64) for x in table.column("known").to_pylist()]
+    return pa.table({"key": pa.array(np.unique(np.concatenate([repeated_strings(parts), *known])).view(np.int64))})
 
 
 def place_of(pos: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -285,7 +300,7 @@ def parts_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def occurrences(docs: DataFrame, min_len: int) -> DataFrame:
-    """Every anchor that is the first of a string of min_len: key, document, place, and hashes.
+    """Every anchor that is the first of a string of min_len: key, document, place, and hashes (two of each).
 
     core: of the bytes from the anchor on that all its strings have; cover: of
     the bytes of all its strings.
@@ -305,19 +320,13 @@ def occurrences(docs: DataFrame, min_len: int) -> DataFrame:
                     table.column("doc_id").combine_chunks().take(take),
                     table.column("text_hash").combine_chunks().take(take),
                     pa.array(place_of(pos - f.bytes.begin[own], near, far)),
-                    pa.array(f.bytes.hash(pos, pos + min_len - (window - 1), 3).view(np.int64)),
-                    pa.array(f.bytes.hash(f.start, f.end + min_len, near * 65536 + far).view(np.int64)),
+                    *(pa.array(f.bytes.hash(pos, pos + min_len - (window - 1), 3, w).view(np.int64)) for w in (0, 1)),
+                    *(pa.array(f.bytes.hash(f.start, f.end + min_len, near * 65536 + far, w).view(np.int64)) for w in (0, 1)),
                 ],
-                names=["key", "doc_id", "text_hash", "place", "core", "cover"],
+                names=["key", "doc_id", "text_hash", "place", *CORE, *COVER],
             )
 
-    return docs.mapInArrow(run, "key long, doc_id long, text_hash long, place long, core long, cover long")
-
-
-def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Join documents with per-document lists by doc_id and text; by shuffle at any size, as the lists grow with the input."""
-    right = lists.withColumnsRenamed({"doc_id": "k_id", "text_hash": "k_hash"})
-    return docs.join(right, docs["doc_id"].eqNullSafe(F.col("k_id")) & (docs["text_hash"] == F.col("k_hash")), how)
+    return docs.mapInArrow(run, "key long, doc_id long, text_hash long, place long, core long, core2 long, cover long, cover2 long")
 
 
 def pieces_of_ranges(docs: DataFrame, lists: DataFrame, min_len: int, block: int) -> DataFrame:
@@ -332,7 +341,8 @@ def pieces_of_ranges(docs: DataFrame, lists: DataFrame, min_len: int, block: int
             ranges = table.column("ranges").combine_chunks()
             sizes = ranges.value_lengths().to_numpy()
             flat = ranges.flatten()
-            core, place, weight = (flat.field(c).to_numpy() for c in ("core", "place", "weight"))
+            place, weight = (flat.field(c).to_numpy() for c in ("place", "weight"))
+            core = [flat.field(c).to_numpy().view(np.uint64) for c in CORE]
             doc = np.repeat(np.arange(len(sizes)), sizes)
             pos, near, far = parts_of(place)
             n = far // block - near // block + 1
@@ -344,46 +354,40 @@ def pieces_of_ranges(docs: DataFrame, lists: DataFrame, min_len: int, block: int
                 part = ragged((near // block)[cut], n[cut])
                 lo, hi = np.maximum(near[row], part * block), np.minimum(far[row], part * block + block - 1)
                 at = by.begin[doc[row]] + pos[row]
-                inner = by.hash(at - part * block, at - (part * block + block - 1) + min_len, part)
-                outer = by.hash(at - hi, at - lo + min_len, (lo - part * block) * 65536 + hi - part * block)
+                inner = [by.hash(at - part * block, at - (part * block + block - 1) + min_len, part, w) for w in (0, 1)]
+                outer = [by.hash(at - hi, at - lo + min_len, (lo - part * block) * 65536 + hi - part * block, w) for w in (0, 1)]
                 take = pa.array(doc[row])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(_mix(core[row].view(np.uint64) ^ inner).view(np.int64)),
-                        pa.array(outer.view(np.int64)),
+                        *(pa.array(_mix(core[w][row] ^ inner[w]).view(np.int64)) for w in (0, 1)),
+                        *(pa.array(outer[w].view(np.int64)) for w in (0, 1)),
                         ids.take(take),
                         texts.take(take),
                         pa.array(place_of(pos[row], lo, hi)),
                         pa.array(weight[row]),
                     ],
-                    names=["core", "cover", "doc_id", "text_hash", "place", "weight"],
+                    names=[*CORE, *COVER, "doc_id", "text_hash", "place", "weight"],
                 )
 
     picked = with_lists(docs, lists, "inner").select("doc_id", "text_hash", "text", "ranges")
-    return picked.mapInArrow(run, "core long, cover long, doc_id long, text_hash long, place long, weight long")
+    return picked.mapInArrow(run, "core long, core2 long, cover long, cover2 long, doc_id long, text_hash long, place long, weight long")
 
 
-def decide(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ranges (core, cover, doc_id, text_hash, place, weight) that repeat as a whole, and those still open.
+def decide(found: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Ranges (core, cover, doc_id, text_hash, place, weight) that repeat as a whole, those still open, and the tables both read.
 
     weight counts what a row stands for.  Of equal covers one goes on, with their
     weights.  A core that occurs once settles its range: no string of it repeats.
     """
-    whole, _ = save(found.groupBy("core", "cover").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "text_hash", "place")).alias("one")))
-    repeated = whole.where("weight > 1").select("core", "cover")
-    mixed = whole.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("weight").alias("least")).where("kinds > 1 and least = 1").select("core")
-    settled = found.where("weight = 1").join(repeated, ["core", "cover"], "left_semi").select("doc_id", "text_hash", "place")
-    return settled, whole.join(mixed, "core").select("core", "weight", "one.*")
+    whole, at = save(found.groupBy(*CORE, *COVER).agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "text_hash", "place")).alias("one")))
+    repeated, repeated_at = save(whole.where("weight > 1").select(*CORE, *COVER, F.col("weight").alias("n")))
+    mixed = whole.groupBy(*CORE).agg(F.count(F.lit(1)).alias("kinds"), F.min("weight").alias("least")).where("kinds > 1 and least = 1").select(*CORE)
+    settled = skew_join(found.where("weight = 1"), repeated, [*CORE, *COVER], "n").select("doc_id", "text_hash", "place")
+    return settled, whole.join(mixed, list(CORE)).select(*CORE, "weight", "one.*"), [at, repeated_at]
 
 
 def listed(ranges: DataFrame) -> DataFrame:
-    return ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("core", "place", "weight")).alias("ranges"))
-
-
-def release(spark) -> None:
-    """Let Spark remove the shuffle files of finished jobs now; the disk is not held until the driver's next full collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    return ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*CORE, "place", "weight")).alias("ranges"))
 
 
 def repeated_ranges(docs: DataFrame, min_len: int) -> DataFrame:
@@ -394,21 +398,23 @@ def repeated_ranges(docs: DataFrame, min_len: int) -> DataFrame:
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, -(-total // BUCKET_BYTES))
     repeated, repeated_at = save(shard_transforms(source, min_len, buckets).groupBy("bucket").applyInArrow(_merge_bucket, "key long"))
-    release(spark)
-    found, _ = save(occurrences(source, min_len).join(repeated, "key").drop("key").withColumn("weight", F.lit(1).cast("long")))
+    found, found_at = save(occurrences(source, min_len).join(repeated, "key").drop("key").withColumn("weight", F.lit(1).cast("long")))
     drop(spark, repeated_at)
-    release(spark)
     out = []
-    for block in (BLOCK, 1):
-        settled, open_ = decide(found)
-        out.append(settled)
-        lists, lists_at = save(listed(open_))
-        release(spark)
-        found, _ = save(pieces_of_ranges(source, lists, min_len, block))
-        drop(spark, lists_at)
-        release(spark)
-    out.append(decide(found)[0])
-    return reduce(DataFrame.union, out).groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
+    for block in (BLOCK, 1, 0):
+        settled, open_, read = decide(found)
+        kept, kept_at = save(settled)
+        out.append((kept, kept_at))
+        if block:
+            lists, lists_at = save(listed(open_))
+            drop(spark, found_at, *read)
+            found, found_at = save(pieces_of_ranges(source, lists, min_len, block))
+            drop(spark, lists_at)
+        else:
+            drop(spark, found_at, *read)
+    places, _ = save(reduce(DataFrame.union, [x[0] for x in out]).groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places")))
+    drop(spark, *[x[1] for x in out])
+    return places
 
 
 def covered(places: list[int], min_len: int) -> list[tuple[int, int]]:
@@ -423,22 +429,27 @@ def covered(places: list[int], min_len: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+RESULT = (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string"))
+
+
 def cut_repeats(docs: DataFrame, min_len: int = 400, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs``: the ``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     Removed is every byte of a min_len-byte string that also starts anywhere
     else, in the same text or in another row's; overlaps count.  kept_text leaves
     out characters of which a part is removed; kept_sha256 is of the bytes.  Null
-    text is empty.  Rows that repeat a doc_id and text are copies of each other.
-    An empty table gives no rows; other columns are ignored.
+    text is empty; a text of any length is read whole, one at a time.  Rows that
+    repeat a doc_id and text are copies of each other, so all of such a text
+    goes; ties do not arise.  An empty table gives no rows.  A ``keep`` column
+    with the name of a result gives way to it; other columns are ignored.
     """
-    spans, _ = save(repeated_ranges(docs, min_len))
-    release(docs.sparkSession)
+    spans = repeated_ranges(docs, min_len)
     text = F.col("text").cast("string")
-    own = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    joined = with_lists(own, spans, "left").select(*[f"k_{c}" for c in keep], "text", "places")
-    schema = docs.select(*keep).schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
+    names = [c for c in keep if c not in dict(RESULT)]
+    own = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    joined = with_lists(own, spans, "left").select("row", "text", "places")
+    schema = joined.select("row").schema
+    for name, kind in RESULT:
         schema = schema.add(name, kind)
 
     def run(batches):
@@ -458,6 +469,6 @@ def cut_repeats(docs: DataFrame, min_len: int = 400, keep: tuple[str, ...] = ("d
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             made = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
             made[-1] = made[-1].cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*(table.column(i).combine_chunks() for i in range(len(keep))), *made], names=schema.names)
+            yield pa.RecordBatch.from_arrays([table.column("row").combine_chunks(), *made], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).select("row.*", *[name for name, _ in RESULT])

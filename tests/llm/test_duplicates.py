@@ -174,6 +174,17 @@ def test_repeats_edges(docs):
     assert {x["kept_text"].strip("ä") for x in got} == {""}
 
 
+def test_repeats_very_long_and_clashing(docs):
+    r = random.Random(5)
+    long = prose(r, 60_000)
+    rows = [(1, long), (2, "x" + long[5000:9000] + "y"), (3, prose(r, 100)), (4, "")]
+    table = docs(rows).selectExpr("*", "'a' AS n_bytes", "'b' AS places", "'c' AS k_id")
+    got = {x["doc_id"]: x for x in repeats.cut_repeats(table, 400, ("doc_id", "n_bytes", "places", "k_id", "source")).collect()}
+    want = brute_repeats(rows, 400)
+    assert {i: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for i, x in got.items()} == want
+    assert got[1]["places"] == "b" and got[1]["k_id"] == "c" and got[2]["kept_text"] == "xy"
+
+
 def test_lines(docs):
     run = ["alpha line", "beta line", "gamma line", "delta line", "epsilon line"]
     rows = [
