@@ -28,15 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import drop, save, ship, text_chunks
+from pagewright.llm.common import drop, save, ship, skew_join, text_chunks, with_lists
 
 CHUNK = 2_000_000
 #: Trees, hash values in a tree's order, and the depths of its regions.
 TREES, DEPTH, REGIONS = 20, 6, (3, 4, 6)
 #: Further hash values, one byte of each, to rule candidates out; a pair at 0.8 agrees on 51.2 of 64 on average, deviation 3.2.
 SKETCH = 64
-#: Documents up to this number are picked out by a broadcast of their keys (16 bytes each), more by a join.
-BROADCAST_KEYS = 200_000
 #: Sets in a block of a region, about; a task compares two blocks at a time.
 BLOCK = 128
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -201,22 +199,20 @@ def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     weight = live.select("set_id", prefix(DEPTH).alias("region")).join(deep, "region").groupBy("set_id").agg(F.sum("size").alias("weight"))
     weighed, weighed_at = save(live.join(weight, "set_id"))
     node = F.struct("set_id", "n", "sketch")
-    found = [_neighbours(live, REGIONS[0], threshold)]
+    found, pivots = [_neighbours(live, REGIONS[0], threshold)], []
     for d in REGIONS:
         own = weighed.select(prefix(d).alias("region"), node.alias("x"), "weight")
-        pivot = own.groupBy("region").agg(F.max_by("x", F.struct("weight", F.col("x.set_id"))).alias("y"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        found.append(_agree(own.join(pivot.drop("size"), "region").where("x.set_id <> y.set_id"), threshold))
+        pivot, at = save(own.groupBy("region").agg(F.max_by("x", F.struct("weight", F.col("x.set_id"))).alias("y"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+        pivots.append(at)
+        found.append(_agree(skew_join(own, pivot, ["region"], "size").where("x.set_id <> y.set_id"), threshold))
     out, _ = save(reduce(DataFrame.union, found).groupBy("a", "b").agg(F.max("same").alias("same")))
-    drop(nodes.sparkSession, live_at), drop(nodes.sparkSession, weighed_at)
+    drop(nodes.sparkSession, live_at, weighed_at, *pivots)
     return out
 
 
 def full_sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """(set_id, shingles) of the documents with the given (doc_id, text_hash, set_id)."""
-    few = keys.count() <= BROADCAST_KEYS
-    k = keys.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "set_id")
-    d = keyed(docs)
-    picked = d.join(F.broadcast(k) if few else k, d["doc_id"].eqNullSafe(F.col("k_id")) & (d["text_hash"] == F.col("k_hash")))
+    """(set_id, shingles) of the documents with the given (doc_id, text_hash, set_id), a saved table."""
+    picked = with_lists(keyed(docs), keys, "inner")
 
     def run(batches):
         for table in text_chunks(batches, CHUNK):
@@ -270,22 +266,24 @@ def crowded_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: in
     root = nodes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rows = root.select("set_id", "root", "orders", tree.alias("tree")).select("set_id", "root", F.expr(f"xxhash64(tree, substring(orders, tree * {4 * DEPTH} + 1, {4 * DEPTH}))").alias("region"))
     mixed = rows.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-    live, _ = save(rows.join(mixed, "region"))
+    live, live_at = save(rows.join(mixed, "region"))
     held = live.groupBy("region", "root").agg(F.count(F.lit(1)).alias("held"))
     rest = held.groupBy("region").agg(F.coalesce(F.sum(F.when(F.col("held") <= BLOCK, F.col("held"))), F.lit(0)).alias("rest"))
     own = F.col("held") > BLOCK
     parts = F.ceil(F.when(own, F.col("held")).otherwise(F.col("rest")) / BLOCK)
     part = F.pmod(F.xxhash64("set_id", F.lit(1)), parts)
     placed = live.join(held, ["region", "root"]).join(rest, "region").select("set_id", "root", "region", F.when(own, F.col("root")).alias("big"), part.alias("part"))
-    placed, _ = save(placed.withColumn("block", F.xxhash64("region", F.coalesce("big", F.lit(b"")), "part")))
+    placed, placed_at = save(placed.withColumn("block", F.xxhash64("region", F.coalesce("big", F.lit(b"")), "part")))
     blocks = placed.groupBy("region", "block").agg(F.first("big").alias("big"))
     x, y = (blocks.select("region", F.col("block").alias(c), F.col("big").alias(f"{c}_big")) for c in ("x", "y"))
     cells = x.join(y, "region").where("x <= y and not coalesce(x_big = y_big, false)").select("x", "y", F.xxhash64("x", "y").alias("cell"))
     ends = cells.select("cell", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"), (F.col("x") == F.col("y")).alias("one"))
     ends = ends.select("block", "cell", "one", (F.col("block") == F.col("y")).alias("second"))
     at = nodes.join(placed.select("set_id").distinct(), "set_id").select("set_id", "doc.doc_id", "doc.text_hash", "sketch")
-    at, _ = save(at)
-    sets, _ = save(full_sets(docs, at.drop("sketch"), width).join(at.select("set_id", "sketch"), "set_id"))
+    at, at_at = save(at)
+    drop(docs.sparkSession, live_at)
+    sets, sets_at = save(full_sets(docs, at.drop("sketch"), width).join(at.select("set_id", "sketch"), "set_id"))
+    drop(docs.sparkSession, at_at)
     dealt = placed.select("set_id", "root", "block").join(ends, "block").drop("block").join(sets, "set_id")
     least = int(SKETCH * threshold - 4.8 * (SKETCH * threshold * (1 - threshold)) ** 0.5)
 
@@ -310,7 +308,9 @@ def crowded_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: in
         got = [sorted((ids[i], ids[j])) for i, j in zip(left[ok], right[ok], strict=True)]
         return pa.table({"a": pa.array([g[0] for g in got], pa.binary()), "b": pa.array([g[1] for g in got], pa.binary())})
 
-    return dealt.groupBy("cell").applyInArrow(run, "a binary, b binary").distinct()
+    links, _ = save(dealt.groupBy("cell").applyInArrow(run, "a binary, b binary").distinct())
+    drop(docs.sparkSession, placed_at, sets_at)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -364,11 +364,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     pairs = candidates(nodes, threshold)
     involved = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    keys, _ = save(nodes.select("set_id", "doc.doc_id", "doc.text_hash").join(involved, "set_id"))
-    sets, _ = save(full_sets(docs, keys, width))
+    keys, keys_at = save(nodes.select("set_id", "doc.doc_id", "doc.text_hash").join(involved, "set_id"))
+    sets, sets_at = save(full_sets(docs, keys, width))
+    drop(docs.sparkSession, keys_at)
     # Each set's best candidate first ...
     ends = pairs.select("a", "b", "same", F.explode(F.array("a", "b")).alias("end"))
     best = ends.groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.*").distinct()
+    best, best_at = save(best)
     links, _ = save(confirm(best, sets, percent))
     roots = components(links)
     # ... then those that would join components.
@@ -376,30 +378,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     open_ = pairs.join(best, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
     open_ = open_.where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     more, _ = save(confirm(open_, sets, percent))
-    links, _ = save(links.union(more))
+    drop(docs.sparkSession, best_at)
+    links = links.union(more)
     roots = components(links)
     # ... then all that share a region and are still apart.
-    last, _ = save(crowded_links(docs, nodes, roots, width, percent))
+    drop(docs.sparkSession, sets_at)
+    last = crowded_links(docs, nodes, roots, width, percent)
     roots = components(links.union(last))
     node_root = nodes.select("set_id", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     group = F.coalesce("root", "set_id")
     labels = node_root.groupBy(group.alias("group")).agg(F.min("least").alias("component_id"))
-    of_set = node_root.select("set_id", group.alias("group")).join(labels, "group").select("set_id", "component_id", F.lit(True).alias("__has"))
-    out = rows.select("doc_id", "n_shingles", "set_id", "text_hash").join(of_set, "set_id", "left")
-    component = F.when(F.col("__has"), F.col("component_id")).otherwise(F.col("doc_id"))
+    shared = rows.where("set_id is not null").groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).join(node_root.select("set_id", group.alias("group")), "set_id")
+    of_set, _ = save(shared.join(labels, "group").select("set_id", "component_id", F.lit(True).alias("has"), "n"))
+    drop(docs.sparkSession, nodes_at)
+    slim = rows.select("doc_id", "n_shingles", "set_id", "text_hash")
+    out = skew_join(slim.where("set_id is not null"), of_set, ["set_id"], "n").unionByName(slim.where("set_id is null"), allowMissingColumns=True)
+    component = F.when(F.col("has"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, the one with the smallest doc_id.
+    """The rows of ``docs`` that stay, with their columns: one of each component, the one with the smallest doc_id.
 
-    Rows that repeat a doc_id and text count once.
+    Rows that repeat a doc_id and text count once; of such the one whose other
+    columns are least stays.  Texts without words all stay; columns of any name
+    are carried along.
     """
-    found, _ = save(near_duplicates(docs, width, percent))
-    key = [F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")]
+    spark = docs.sparkSession
+    found, found_at = save(near_duplicates(docs, width, percent))
+    key = ("doc_id", "text_hash")
     gone, _ = save(found.where("not kept").select(*key).distinct())
-    few = gone.count() <= BROADCAST_KEYS
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("k_hash"))
-    left = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
-    again = found.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
-    return left if again else left.dropDuplicates(["doc_id", "text"])
+    again = not found.where("kept").groupBy(*key).count().where("count > 1").isEmpty()
+    drop(spark, found_at)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    left = with_lists(rows, gone, "left_anti")
+    if again:
+        left = left.groupBy(*key).agg(F.min("row").alias("row"))
+    return left.select("row.*")
