@@ -170,6 +170,14 @@ def transform(symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
     return before, owner[order[head[order]]]
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """A stable order of whole numbers from 0 to 2**32 - 1, by their two halves: NumPy sorts 16 bits by counting."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(x) and x.max() > 0xFFFF:
+        order = order[np.argsort((x >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def merge_transforms(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge transforms by interleave refinement.
 
@@ -191,11 +199,11 @@ def merge_transforms(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
     depth = 0
     while True:
         # The next symbol of each part, in interleaved order.
-        order = np.argsort(from_part, kind="stable")
+        order = stable_order(from_part)
         within = np.empty(len(both), np.int64)
         within[order] = np.arange(len(both)) - np.repeat(offset, sizes)
         symbol = code[offset[from_part] + within]
-        go = np.argsort(symbol, kind="stable")
+        go = stable_order(symbol)
         new_part, new_symbol, old_block = from_part[go], symbol[go], block[go]
         # Nothing follows a terminator, so rows that begin with one stay together.
         border = np.concatenate([[True], (new_symbol[1:] != new_symbol[:-1]) | ((old_block[1:] != old_block[:-1]) & (alphabet[new_symbol[1:]] != 0))])
@@ -205,7 +213,7 @@ def merge_transforms(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
         from_part, block = new_part, np.cumsum(border)
         if not fresh.any():  # then no pair has a longer common prefix that ends
             break
-    order = np.argsort(from_part, kind="stable")
+    order = stable_order(from_part)
     within = np.empty(len(both), np.int64)
     within[order] = np.arange(len(both)) - np.repeat(offset, sizes)
     common[common < 0] = np.iinfo(np.int64).max  # equal to the end
