@@ -389,9 +389,9 @@ def decide(found: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """
     whole, at = save(found.groupBy(*CORE, *COVER).agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "text_hash", "place")).alias("one")))
     repeated, repeated_at = save(whole.where("weight > 1").select(*CORE, *COVER, F.col("weight").alias("n")))
-    mixed = whole.groupBy(*CORE).agg(F.count(F.lit(1)).alias("kinds"), F.min("weight").alias("least")).where("kinds > 1 and least = 1").select(*CORE)
+    mixed, mixed_at = save(whole.groupBy(*CORE).agg(F.count(F.lit(1)).alias("kinds"), F.min("weight").alias("least")).where("kinds > 1 and least = 1").drop("least"))
     settled = skew_join(found.where("weight = 1"), repeated, [*CORE, *COVER], "n").select("doc_id", "text_hash", "place")
-    return settled, whole.join(mixed, list(CORE)).select(*CORE, "weight", "one.*"), [at, repeated_at]
+    return settled, skew_join(whole, mixed, list(CORE), "kinds").select(*CORE, "weight", "one.*"), [at, repeated_at, mixed_at]
 
 
 def listed(ranges: DataFrame) -> DataFrame:
