@@ -76,5 +76,5 @@ def with_context(prompt: Column, context: Column) -> Column:
 
 
 def image_url(content: Column) -> Column:
-    """Q7: an image as a data URL, always called jpeg."""
-    return F.concat(F.lit("data:image/jpeg;base64,"), F.base64(content))
+    """Q7: an image as a data URL, always called jpeg. The built-in function breaks lines, a URL has none."""
+    return F.concat(F.lit("data:image/jpeg;base64,"), F.translate(F.base64(content), "\r\n", ""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright import schemas
+from pagewright.functions.text import strip
 
 
 def typed_boxes(raw: Column) -> Column:
@@ -98,6 +99,42 @@ def to_pixels(x0: Column, y0: Column, x1: Column, y1: Column, dpi: Column | floa
     return F.when(fine, F.struct(a.alias("x0"), b.alias("y0"), F.greatest(c, a + 1).alias("x1"), F.greatest(d, b + 1).alias("y1")))
 
 
+def _finite(*cols: Column) -> Column:
+    out = F.lit(True)
+    for c in cols:
+        out = out & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return out
+
+
+def _placed(spans: Column, dpi: float, x_scale: float) -> Column:
+    """Spans (x0, y0, x1, y1, text) in points as boxes in pixels; those out of range or without text go."""
+    box = lambda s: F.struct(to_pixels(s["x0"], s["y0"], s["x1"], s["y1"], dpi, x_scale).alias("p"), strip(s["text"]).alias("text"))
+    fine = F.filter(F.transform(spans, box), lambda b: b["p"].isNotNull() & (b["text"] != ""))
+    return F.transform(fine, lambda b: F.struct(*[b["p"][c].alias(c) for c in ("x0", "y0", "x1", "y1")], b["text"].alias("text")))
+
+
+def word_boxes(words: Column, dpi: float = 72.0, x_scale: float = 1.0) -> Column:
+    """D5 by word: words in points as boxes in pixels."""
+    return _placed(words, dpi, x_scale)
+
+
+def line_boxes(lines: Column, dpi: float = 72.0, x_scale: float = 1.0) -> Column:
+    """D5 by line: the spans of each line as one box.
+
+    Blank spans do not count.  A span whose corners are not finite adds its text
+    only; texts are joined with a blank where the text so far does not end in one.
+    """
+
+    def one(spans: Column) -> Column:
+        said = F.filter(spans, lambda s: strip(F.coalesce(s["text"], F.lit(""))) != "")
+        sure = F.filter(said, lambda s: _finite(s["x0"], s["y0"], s["x1"], s["y1"]))
+        edge = lambda f, c: f(F.transform(sure, lambda s: s[c]))
+        text = F.aggregate(said, F.lit(""), lambda a, s: F.concat(a, F.when((a != "") & ~a.endswith(" "), " ").otherwise(""), s["text"]))
+        return F.struct(edge(F.array_min, "x0").alias("x0"), edge(F.array_min, "y0").alias("y0"), edge(F.array_max, "x1").alias("x1"), edge(F.array_max, "y1").alias("y1"), text.alias("text"))
+
+    return _placed(F.transform(lines, one), dpi, x_scale)
+
+
 def union_boxes(spans: Column) -> Column:
     """A line's box around its spans, texts joined by one blank."""
     return giant_box(spans)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
+from html import escape, unescape
+from html.entities import html5
 from html.parser import HTMLParser
 import re
 import unicodedata
@@ -89,8 +91,14 @@ def normalise_latex_table(c: Column) -> Column:
     return _without(c, LATEX_TABLE_PATTERNS)
 
 
+#: What a table is, the attributes that go, and the table that results.
+TABLE = r"<table\b[^>]*>(.*)</table>"
+TABLE_ATTRIBUTES = ("style", "height", "width", "align", "class")
+TABLE_OUT = '<html><body><table border="1" >{}</table></body></html>'
+
+
 class _Table(HTMLParser):
-    """Writes html again with th as td, without thead and span tags, and formulas as $alttext$."""
+    """Writes html again with th as td, without thead and span tags, formulas as $alttext$, and only &, < and > as references."""
 
     def __init__(self):
         super().__init__(convert_charrefs=False)
@@ -100,10 +108,10 @@ class _Table(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag == "math":
             if not self.math:
-                self.out.append("$" + (dict(attrs).get("alttext") or "") + "$")
+                self.out.append(escape("$" + (dict(attrs).get("alttext") or "") + "$", quote=False))
             self.math += 1
         elif not self.math and tag not in ("thead", "span"):
-            said = "".join(f' {k}="{v}"' if v is not None else f" {k}" for k, v in attrs)
+            said = "".join(f' {k}="{escape(v, quote=False)}"' if v is not None else f" {k}" for k, v in attrs)
             self.out.append(f"<{'td' if tag == 'th' else tag}{said}>")
 
     def handle_startendtag(self, tag, attrs):
@@ -119,30 +127,30 @@ class _Table(HTMLParser):
 
     def handle_data(self, data):
         if not self.math:
-            self.out.append(data)
+            self.out.append(escape(data, quote=False))
 
     def handle_entityref(self, name):
-        self.handle_data(f"&{name};")
+        self.handle_data(html5.get(f"{name};", f"&{name}"))
 
     def handle_charref(self, name):
-        self.handle_data(f"&#{name};")
+        self.handle_data(unescape(f"&#{name};"))
 
 
 def html_table(text: str | None) -> str | None:
     """N7 for one text."""
     if text is None:
         return None
-    if "<table" not in text.replace(" ", ""):
+    if "<table" not in text.replace(" ", "").replace("'", '"'):
         return ""
     writer = _Table()
     writer.feed(text)
     writer.close()
     flat = unicodedata.normalize("NFKC", "".join(writer.out).replace("\n", "")).strip()
-    inside = "".join(re.findall(r"<table\b[^>]*>(.*)</table>", flat, re.S | re.I))
-    for name in ("style", "height", "width", "align", "class"):
+    inside = "".join(re.findall(TABLE, flat, re.S | re.I))
+    for name in TABLE_ATTRIBUTES:
         inside = re.sub(rf' {name}=".*?"', "", inside)
     inside = re.sub(r"\s+", " ", re.sub(r"</?tbody>", "", inside))
-    return f'<html><body><table border="1" >{inside}</table></body></html>'
+    return TABLE_OUT.format(inside)
 
 
 @F.pandas_udf(StringType())
@@ -193,18 +201,24 @@ def token_estimate(c: Column) -> Column:
     return F.coalesce(F.ceil(F.length(c) / 4).cast("long"), F.lit(0).cast("long"))
 
 
+@lru_cache(2)
+def _encoding(ranks: str, pattern: str):
+    """The vocabulary, read once by each Python worker."""
+    import base64
+
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
 def token_counter(ranks: str, pattern: str):
     """X10 with a vocabulary: a function that counts the byte-pair tokens of a rank file; null is 0."""
 
     @F.pandas_udf(LongType())
     def count(texts: pd.Series) -> pd.Series:
-        import base64
-
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        encoding = _encoding(ranks, pattern)
         return texts.map(lambda t: len(encoding.encode_ordinary(t)) if t else 0)
 
     return count

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.operators.partitioning import kept
+
 
 def matched(pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:
     """Predictions with their truth; columns pred and gt."""
@@ -24,9 +26,13 @@ def last_of_key(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, name: str = "row") -> DataFrame:
-    """Rows with their place in ``order`` from 0: ranges sorted apart, then offset by the counts before them."""
+    """Rows with their place in ``order`` from 0: ranges sorted apart, then offset by the counts before them.
+
+    The sorted ranges are kept, since both what counts and what numbers them must see ties in one order.
+    """
     dealt = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, order).sortWithinPartitions(order)
     local = dealt.withColumn("__m", F.monotonically_increasing_id()).withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))})
+    local = kept(local)
     counts = local.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__b"))  # a row a partition
     return local.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__m", "__p", "__i", "__b")

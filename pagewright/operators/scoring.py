@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from pagewright.functions import metrics
 from pagewright.functions import text as T
 from pagewright.operators.joins import matched
+from pagewright.operators.partitioning import spread
 
 
 def score_pairs(pairs: DataFrame, keys: list[str], normalise: bool = True, with_bleu: bool = True) -> DataFrame:
     """C3 on rows with pred and gt.
 
-    Both sides are normalised once and then dealt evenly: edit distance is
-    quadratic in length, so the rows of a file must not stay in one task.
+    Both sides are normalised once.  Edit distance is quadratic in length, so
+    the rows of a few files are dealt evenly before it.
     """
     side = lambda c: F.coalesce(T.normalise(F.col(c)) if normalise else F.col(c), F.lit("")).alias(c)
     ready = pairs.select(*keys, side("pred"), side("gt"))
-    ready = ready.repartition(4 * ready.sparkSession.sparkContext.defaultParallelism)
+    ready = spread(ready)
     cols = [metrics.cer(F.col("pred"), F.col("gt"), False).alias("cer")]
     if with_bleu:
         cols.append(metrics.bleu(F.col("pred"), F.col("gt"), False).alias("bleu"))
@@ -39,7 +40,7 @@ def summary(scores: DataFrame, columns: list[str] = ("cer", "bleu"), by: list[st
     return scores.groupBy(*by).agg(*out) if by else scores.agg(*out)
 
 
-def evaluate(pred: DataFrame, gt: DataFrame, by: list[str] = (), normalise: bool = True) -> tuple[DataFrame, DataFrame]:
+def evaluate(pred: DataFrame, gt: DataFrame, by: list[str] = (), normalise: bool = True, with_bleu: bool = True) -> tuple[DataFrame, DataFrame]:
     """A2: per-page scores and their summary; all splits in one job when ``by`` names the split."""
-    pages = score_pages(pred, gt, [*by, "page_id"], normalise)
-    return pages, summary(pages, by=list(by))
+    pages = score_pages(pred, gt, [*by, "page_id"], normalise, with_bleu)
+    return pages, summary(pages, ["cer", "bleu"] if with_bleu else ["cer"], by=list(by))

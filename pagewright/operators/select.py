@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import count_words
+from pagewright.operators.joins import numbered
+from pagewright.operators.partitioning import kept
 
 #: What the final exclusion list leaves out.
 MOST_TOKENS, LEFT_OUT_DOMAIN = 64000, "Long Structured Data Understanding"
@@ -114,11 +116,18 @@ def task_path(path: Column, task: Column) -> Column:
 def longest(df: DataFrame, key: str, size: Column, percent: float, order: str, n: int | None = None) -> DataFrame:
     """The keys of the ``percent`` largest rows (cut to a whole number), ties in input order.
 
-    n: the number that the share is of; by default all rows.  A count and a
-    bounded top-k, not a ranking of all rows in one partition.
+    n: the number that the share is of; by default all rows.  The size at the
+    cut comes from the counts by size; all larger rows are in, and only rows of
+    just that size are numbered, over all tasks.
     """
-    total = df.count() if n is None else n
-    return df.select(key, size.alias("__s"), F.col(order).alias("__o")).orderBy(F.desc("__s"), F.asc("__o")).limit(int(total * percent / 100)).select(key)
+    rows = kept(df.select(key, size.cast("long").alias("__s"), F.col(order).alias("__o")))
+    sizes = rows.groupBy("__s").agg(F.count(F.lit(1)).alias("here")).withColumn("upto", F.sum("here").over(Window.orderBy(F.desc("__s"))))  # a row a size
+    wanted = int((rows.count() if n is None else n) * percent / 100)
+    cut = sizes.where(F.col("upto") >= wanted).orderBy("upto").first() if wanted else None
+    if cut is None:
+        return rows.select(key).limit(0) if not wanted else rows.select(key)
+    ties = numbered(rows.where(F.col("__s") == cut["__s"]), "__o").where(F.col("row") < wanted - (cut["upto"] - cut["here"]))
+    return rows.where(F.col("__s") > cut["__s"]).select(key).union(ties.select(key))
 
 
 def longest_texts(df: DataFrame, key: str, text: Column, percent: float = 25.0, order: str = "_id", known: DataFrame | None = None) -> DataFrame:

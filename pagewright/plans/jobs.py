@@ -44,9 +44,13 @@ def needle_set(instances: DataFrame, exclude: DataFrame | None = None, limit: in
     return needles.generate(select.first_rows(rows, limit, "_id"), multiplier, num_secrets, seed)
 
 
-def choice_report(results: DataFrame, instances: DataFrame, tokens=None) -> dict[str, DataFrame]:
-    """Totals, accuracy by context length, and by difficulty and length."""
-    known = joins.with_instances(results, joins.last_of_key(instances.withColumn("__s", F.monotonically_increasing_id()), ["_id"], "__s"), ["difficulty", "length", "context"])
+def choice_report(results: DataFrame, instances: DataFrame, tokens=None, seq: str | None = None) -> dict[str, DataFrame]:
+    """Totals, accuracy by context length, and by difficulty and length.
+
+    Of instances that repeat an id the last by ``seq`` counts; without it the ids must differ.
+    """
+    own = joins.last_of_key(instances, ["_id"], seq) if seq else instances
+    known = joins.with_instances(results, own, ["difficulty", "length", "context"])
     count = tokens(F.col("context")) if tokens else T.token_estimate(F.col("context"))
     binned = known.withColumn("context_bin", T.token_bin(count))
     return {

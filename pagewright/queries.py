@@ -15,6 +15,7 @@ from pagewright.functions import layout as L
 from pagewright.functions import images, markdown, ocr, perturb
 from pagewright.functions import text as T
 from pagewright.operators import infer, joins, layout_stats, needles, scoring, select, slices
+from pagewright.operators.partitioning import spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -34,18 +35,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly, for expressions that take long on each row."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4)
-
-
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, lang, source, and two sides of each document: folded to ASCII, and with look-alikes.
 
     Edit distance takes lines, not whole documents: a page is a line of a text, so
     its cost is bounded by line length and all text is scored.
     """
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     lines = docs.select("doc_id", "lang", "source", F.posexplode(F.split(T.fold_ascii(F.col("text")), "\n")).alias("line", "gt"))
     page = F.concat_ws("_", F.col("doc_id").cast("string"), F.col("line").cast("string"))
     lines = lines.withColumn("page_id", page)
@@ -109,7 +105,10 @@ def cer_summary(spark, d):
 
 @query(CER_SQL + f"SELECT source, {SUMMARY_SQL} FROM c GROUP BY source")
 def cer_by_split(spark, d):
-    return rounded(scoring.summary(scored(spark, d), ["cer"], ["source"]))
+    """A2 by split: predictions joined with their truth (R1), scored (C3) and summed up."""
+    both = pages(spark, d)
+    side = lambda c: both.select("source", "page_id", F.col(c).alias("text"))
+    return rounded(scoring.evaluate(side("pred"), side("gt"), ["source"], with_bleu=False)[1])
 
 
 @query()
@@ -122,9 +121,10 @@ def coverage_missing_pred(spark, d):
     return joins.missing(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"])
 
 
-@query("SELECT turn AS doc_id FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.turn)")
+@query("SELECT doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang <> 'en' AND l.doc_id = d.doc_id)")
 def coverage_missing_gt(spark, d):
-    return joins.missing(table(spark, d, "conversations").select(F.col("turn").alias("doc_id")), table(spark, d, "labels"), ["doc_id"])
+    """Labels as predictions; documents in other languages than English as truth."""
+    return joins.missing(table(spark, d, "labels"), table(spark, d, "documents").where("lang <> 'en'"), ["doc_id"])
 
 
 WORDS_SQL = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: regexp_matches(w, '[^.,;:!?()\\[\\]{}\"''`]')))"
@@ -433,25 +433,28 @@ def render_preclean(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT doc_id, string_split(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10)) AS l FROM documents WHERE NOT contains(text, '  '))
-SELECT doc_id, ((len(l) + 29) // 30)::INTEGER AS n, md5(array_to_string(l, '<br/>')) AS digest FROM p"""
+    """WITH e AS (SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM documents),
+b AS (SELECT doc_id, t, regexp_replace(regexp_replace(t, '  ', chr(1) || chr(1), 'g'), chr(1) || ' ', chr(1) || chr(1), 'g') AS u FROM e),
+p AS (SELECT doc_id, string_split(replace(u, chr(1), '&nbsp;'), chr(10)) AS l FROM b)
+SELECT doc_id, coalesce((len(l) + 29) // 30, 0)::INTEGER AS n, md5(coalesce(array_to_string(l, '<br/>'), '')) AS digest FROM p"""
 )
 def paragraph_batches(spark, d):
     b = L.batches(L.pre_clean(F.col("text"), False))
-    rows = table(spark, d, "documents").select("doc_id", b.alias("b"))  # the SQL covers texts without two blanks in a row only
+    rows = table(spark, d, "documents").select("doc_id", b.alias("b"))
     return rows.select("doc_id", F.size("b").alias("n"), F.md5(F.array_join("b", "<br/>")).alias("digest"))
 
 
-GROUNDED_SQL = "'<center>' || substr(text, 1, 40) || '<|ref|>a<|/ref|><|det|>[[1,2]]<|/det|>' || chr(10) || chr(10) || chr(10) || text || '</center> '"
+GROUNDED_SQL = "'<center>' || '\\[ ' || source || ' \\quad (' || lang || ') \\]' || substr(text, 1, 40) || '<|ref|>a<|/ref|><|det|>[[1,2]]<|/det|>' || chr(10) || chr(10) || chr(10) || text || '</center> '"
 
 
 @query(
-    f"""SELECT doc_id, md5(regexp_replace(replace(replace(replace(replace(regexp_replace({GROUNDED_SQL}, '(?s)<\\|ref\\|>.*?<\\|/ref\\|><\\|det\\|>.*?<\\|/det\\|>', '', 'g'),
+    f"""SELECT doc_id, md5(regexp_replace(replace(replace(replace(replace(regexp_replace(replace({GROUNDED_SQL}, '\\[ ' || source || ' \\quad (' || lang || ') \\]', '\\[' || source || '\\]'), '(?s)<\\|ref\\|>.*?<\\|/ref\\|><\\|det\\|>.*?<\\|/det\\|>', '', 'g'),
 chr(10) || chr(10) || chr(10) || chr(10), chr(10) || chr(10)), chr(10) || chr(10) || chr(10), chr(10) || chr(10)), '<center>', ''), '</center>', ''), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents"""
 )
 def ocr_clean(spark, d):
-    t = F.concat(F.lit("<center>"), F.substring("text", 1, 40), F.lit("<|ref|>a<|/ref|><|det|>[[1,2]]<|/det|>\n\n\n"), F.col("text"), F.lit("</center> "))
-    return table(spark, d, "documents").select("doc_id", F.md5(ocr.clean_output(t, formulas=False)).alias("digest"))
+    formula = F.concat(F.lit("\\[ "), "source", F.lit(" \\quad ("), "lang", F.lit(") \\]"))
+    t = F.concat(F.lit("<center>"), formula, F.substring("text", 1, 40), F.lit("<|ref|>a<|/ref|><|det|>[[1,2]]<|/det|>\n\n\n"), F.col("text"), F.lit("</center> "))
+    return table(spark, d, "documents").select("doc_id", F.md5(ocr.clean_output(t)).alias("digest"))
 
 
 def nested_sql(start: str, patterns) -> str:
@@ -488,6 +491,15 @@ def text_norm(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.normalise(F.col("text"))).alias("digest"))
 
 
+@query(
+    """SELECT page_id, CASE WHEN contains(replace(html, ' ', ''), '<table') THEN 1 ELSE 0 END AS tables, '<html><body><table border="1" ><tr><td>' || replace(url, '&', '&amp;') || '</td></tr></table></body></html>' AS url_table FROM pages"""
+)
+def html_table_totals(spark, d):
+    """N7 over whole pages and urls: whether a page has a table, and a table around its url."""
+    got = html_table_norm(spark, d)
+    return got.select("page_id", F.when(F.col("table") != "", 1).otherwise(0).alias("tables"), "url_table")
+
+
 @query()
 def html_table_norm(spark, d):
     of_url = F.concat(F.lit("<table class=\"a\"><thead><tr><th>"), "url", F.lit("</th></tr></thead></table>"))
@@ -496,7 +508,7 @@ def html_table_norm(spark, d):
 
 @query()
 def markdown_segments(spark, d):
-    s = markdown.segment(table(spark, d, "documents").select("doc_id", "text"))
+    s = markdown.segment(table(spark, d, "documents").select("doc_id", "text"))  # of the texts as they are; markdown_of_lines has marks in them
     return s.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -523,19 +535,57 @@ def truth_routing(spark, d):
     return table(spark, d, "documents").select("doc_id", joins.truth_split(split).alias("truth"))
 
 
-@query("SELECT source, max(CASE WHEN lang = 'en' THEN n END) AS en, max(CASE WHEN lang = 'de' THEN n END) AS de FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source")
+@query("SELECT source, max(CASE WHEN lang = 'en' THEN n END) AS en, max(CASE WHEN lang = 'de' THEN n END) AS de, max(CASE WHEN lang = 'fr' THEN n END) AS fr, max(CASE WHEN lang = 'es' THEN n END) AS es FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source")
 def model_comparison(spark, d):
     n = table(spark, d, "documents").groupBy("source", F.col("lang").alias("model")).agg(F.count(F.lit(1)).alias("n"))
-    return joins.side_by_side(n, "source", ["en", "de"], "n")
+    return joins.side_by_side(n, "source", ["en", "de", "fr", "es"], "n")
+
+
+def grey_images(spark, d) -> DataFrame:
+    """documents as grey images of 64 columns: a pixel for each byte of the text in ASCII, the rest of the last row black."""
+    t = T.fold_ascii(F.col("text"))
+    rows = spread(table(spark, d, "documents").where("coalesce(text, '') <> ''")).select("doc_id", t.alias("t"), F.ceil(F.length(t) / 64).cast("int").alias("height"))
+    data = F.concat(F.transform(F.split("t", ""), lambda c: F.ascii(c)), F.array_repeat(F.lit(0), F.col("height") * 64 - F.length("t")))
+    return rows.select("doc_id", F.col("doc_id").cast("string").alias("image_id"), "height", F.lit(64).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
 
 
 @query()
 def pixel_noise(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.col("doc_id").cast("int") + i * 4) % 256).alias("data"))
-    return images.random_noise(rows).select("image_id", "status", F.aggregate("data", F.lit(0), lambda a, x: a + x).alias("total"))
+    return images.random_noise(grey_images(spark, d)).select("image_id", "status", F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT doc_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN (doc_id + i * 4) % 256 > 128 THEN 255 ELSE 0 END))::INTEGER AS total FROM documents")
+@query(f"SELECT doc_id, list_sum(list_transform(string_split(t, ''), lambda c: CASE WHEN ascii(c) > 100 THEN 255 ELSE 0 END))::BIGINT AS total FROM (SELECT doc_id, {FOLD.format('text')} AS t FROM documents WHERE coalesce(text, '') <> '')")
 def pixel_threshold(spark, d):
-    data = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.col("doc_id").cast("int") + i * 4) % 256)
-    return table(spark, d, "documents").select("doc_id", F.aggregate(perturb.apply("binarization_thresholding", data), F.lit(0), lambda a, x: a + x).alias("total"))
+    """I4, I10."""
+    black = perturb.apply("binarization_thresholding", F.col("data"), threshold=100)
+    return grey_images(spark, d).select("doc_id", F.aggregate(black, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS image_id, 'success' AS status, trunc(((length(t) + 63) // 64) * 0.5)::INTEGER AS height, 32 AS width FROM (SELECT doc_id, {FOLD.format('text')} AS t FROM documents WHERE length(text) > 64)")
+def resampled(spark, d):
+    """Half the size by bilinear resampling."""
+    own = grey_images(spark, d).where("height > 1")
+    return images.resample(own, "bilinear", 0.5).select("image_id", "status", "height", "width")
+
+
+@query()
+def blurred(spark, d):
+    """A blur keeps the mean, about."""
+    return images.blur(grey_images(spark, d)).select("image_id", "status", F.size("data").alias("pixels"))
+
+
+@query("SELECT doc_id::VARCHAR AS image_id, (6 + n_chars % 50)::INTEGER AS width, (5 + n_chars % 5)::INTEGER AS height FROM documents WHERE n_chars IS NOT NULL")
+def cropped(spark, d):
+    """White images with a dark block as long and high as the text's length says, cut two pixels behind it."""
+    n = F.col("n_chars")
+
+    def pixel(p):
+        row, col = F.floor(p / 64), p % 64
+        return F.when((row >= 2) & (row < 4 + n % 5) & (col >= 2) & (col < 4 + n % 50), 0).otherwise(255)
+
+    data = F.transform(F.sequence(F.lit(0), F.lit(12 * 64 - 1)), pixel)
+    rows = table(spark, d, "documents").where("n_chars is not null").select(F.col("doc_id").cast("string").alias("image_id"), F.lit(12).alias("height"), F.lit(64).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+    return images.adaptive_crop(rows, 2, 2).select("image_id", "width", "height")
+
+
+from pagewright import record_queries  # noqa: E402, F401  registers its queries

@@ -12,6 +12,7 @@ DEFAULTS: dict[str, Any] = {
     "right-indent": 0, "space-after": 0, "space-before": 0, "border-width": 0, "border-padding": 0, "page-bg-color": "#FFFFFF",
     "para-bg-color": "#FFFFFF", "auto-crop-width": False, "auto-crop-last-page": False, "newline-markup": "<br/>", "remove-line-breaks": False,
 }
+#: Settings that must be there, those that are numbers, and the alignments there are.
 REQUIRED = ("font-path", "page-size", "font-size", "line-height", "margin-x", "margin-y", "font-color", "alignment", "page-bg-color", "para-bg-color")
 NUMBERS = ("font-size", "line-height", "margin-x", "margin-y", "dpi")
 ALIGNMENTS = ("LEFT", "CENTER", "RIGHT", "JUSTIFY")

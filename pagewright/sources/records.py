@@ -55,7 +55,7 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, folder: str, ending: str = "md") -> DataFrame:
-    """The files of a folder, not below it, as page texts."""
+    """The files of a folder, not below it, as page texts. Spark passes over files without a byte; the writer ends each page with a line break."""
     if not exists(spark, folder):
         raise FileNotFoundError(folder)
     read = spark.read.option("pathGlobFilter", f"*.{ending}").text(folder, wholetext=True)

@@ -22,6 +22,7 @@ FENCE = "`" * 3
         (T.normalise_latex_table, r"\color{red}y", r"\y"),
         (T.normalise_html_table, "no table", ""),
         (T.normalise_html_table, '<table class="a"><thead><tr><th>x<span>y</span></th></tr></thead></table>', '<html><body><table border="1" ><tr><td>xy</td></tr></table></body></html>'),
+        (T.normalise_html_table, "<table><tr><td>a&ref=b &copy; &#65; &lt;</td></tr></table>", '<html><body><table border="1" ><tr><td>a&amp;ref=b © A &lt;</td></tr></table></body></html>'),
         (T.nfkc, "ﬁ①", "fi1"),
         (T.count_words, "Hello, world! -- () 'x'", 4),
         (T.count_words, "", 0),
@@ -174,3 +175,73 @@ def test_images(spark):
     assert got["bad"]["status"] == "error"
     again = {r["image_id"]: r for r in I.random_noise(rows.repartition(3), "salt_and_pepper", 1.0).collect()}
     assert again["a"]["data"] == got["a"]["data"]
+
+
+def test_png_round_trip_and_overlay():
+    import numpy as np
+
+    from pagewright.functions import png
+
+    r = np.random.default_rng(4)
+    for shape in ((5, 7), (6, 4, 3), (3, 3, 4), (1, 1)):
+        a = r.integers(0, 256, shape, dtype=np.uint8)
+        assert (png.decode(png.encode(a)) == a).all()
+    # Each of the five filters, by hand, on two rows of grey pixels.
+    for kind, second in ((0, [9, 8, 7]), (1, [9, 255, 255]), (2, [8, 6, 4]), (3, [9 - 0, 8 - 5, 7 - 5]), (4, [8, 255, 255])):
+        rows = np.array([[0, 1, 2, 3], [kind, *second]], np.uint8)
+        assert png._unfiltered(rows, 1)[1].tolist() == [9, 8, 7], kind
+    white = np.full((20, 30), 255, np.uint8)
+    drawn = png.overlay(white, [(2, 3, 10, 12), (-5, 0, 40, 19)])
+    assert drawn[3, 5].tolist() == [0, 0, 0] and drawn[12, 10].tolist() == [0, 0, 0] and drawn[0, 5].tolist() == [1, 3, 5]
+    assert (png.overlay(white, []) == 255).all() and len({png.colour(i) for i in range(12)}) == 6
+    assert (png.overlay(white, [(2, 3, 10, 12)] * 51)[5:11, 4:9] == 255).all()  # no numbers on so many boxes
+
+
+def test_page_boxes(spark):
+    rows = spark.sql("""SELECT array(array(named_struct('x0', 1D, 'y0', 2D, 'x1', 3D, 'y1', 4D, 'text', 'a'), named_struct('x0', 0D, 'y0', 3D, 'x1', 9.6D, 'y1', 3.5D, 'text', 'b '),
+        named_struct('x0', double('nan'), 'y0', 0D, 'x1', 1D, 'y1', 1D, 'text', 'c'), named_struct('x0', 0D, 'y0', 0D, 'x1', 90D, 'y1', 90D, 'text', ' ')),
+        array(named_struct('x0', double('inf'), 'y0', 0D, 'x1', 1D, 'y1', 1D, 'text', 'd')), array(named_struct('x0', -4D, 'y0', -4D, 'x1', -2D, 'y1', 0.2D, 'text', ' e '))) AS l""")
+    got = rows.select(L.line_boxes(F.col("l"), 144.0).alias("b"), L.word_boxes(F.flatten("l"), 144.0).alias("w")).first()
+    assert [tuple(x) for x in got["b"]] == [(0, 4, 19, 8, "a b c"), (0, 0, 1, 1, "e")]
+    assert [x["text"] for x in got["w"]] == ["a", "b", "e"] and tuple(got["w"][0])[:4] == (2, 4, 6, 8)
+
+
+def test_markdown_of_several_rows(spark):
+    text = "a\n```\nx\n\n```\nb\n# H  \n> q\n  - i\n***\n\nc\n```\nlost"
+    df = spark.createDataFrame([(1, text), (2, text), (3, ""), (4, None)], "id int, text string")
+    rows = markdown.segment(df).orderBy("id", "seq").collect()
+    want = [("code", 0, "x\n"), ("paragraph", 0, "a b"), ("heading", 1, "H"), ("quote", 0, "q"), ("item", 2, "- i"), ("rule", 0, ""), ("paragraph", 0, "c")]
+    for i in (1, 2):
+        assert [(r["kind"], r["level"], r["text"]) for r in rows if r["id"] == i] == want
+    assert [r["seq"] for r in rows if r["id"] == 2] == list(range(7)) and len(rows) == 14
+
+
+def test_longest_with_many_ties(spark):
+    from pagewright.operators import select
+
+    rows = spark.createDataFrame([(f"{i:03d}", "a b" if i % 3 else "a b c") for i in range(90)], "_id string, t string")
+    got = sorted(r["_id"] for r in select.longest_texts(rows, "_id", F.col("t"), 50.0).collect())
+    best = sorted(range(90), key=lambda i: (i % 3 != 0, i))[:45]
+    assert got == sorted(f"{i:03d}" for i in best)
+    assert select.longest_texts(rows, "_id", F.col("t"), 0.0).count() == 0 and select.longest_texts(rows, "_id", F.col("t"), 100.0).count() == 90
+
+
+def test_answers_beyond_ascii(one):
+    assert one(A.answer_letter(F.col("x")), x="\u00e9t\u00e9\uff08C\uff09") == "C"
+    assert one(A.answer_letter(F.col("x")), x="\u3000b") == "B"
+    assert one(T.clean(F.col("x")), x="\u00a0a\u2003\u2003b\u3000") == "a b"
+
+
+def test_token_counts_are_the_library_s(spark):
+    import base64
+
+    import tiktoken
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", None, "Hello, world", "\u00fcber \u4f60\u597d " * 50]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.token_counter(path, public_tokenizers.PATTERN)("t").alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: len(library.encode_ordinary(t or "")) for i, t in enumerate(texts)}

@@ -90,3 +90,35 @@ def test_stream(spark, tmp_path):
     assert run() == [("p1", 0.0)]
     (tmp_path / "in" / "p2.md").write_text("y")
     assert run() == [("p1", 0.0), ("p2", 100.0)]
+
+
+def test_page_files_are_written_read_and_scored(spark, tmp_path):
+    pages = spark.createDataFrame([("a_page_001", "one\ntwo"), ("b", ""), ("c", None)], "page_id string, text string")
+    out = str(tmp_path / "md")
+    assert sinks.page_files(pages, out) == 3 and sinks.page_files(pages, out) == 3
+    assert sorted(p.name for p in (tmp_path / "md").iterdir()) == ["a_page_001.md", "b.md", "c.md"]
+    read = records.predictions(spark, out)
+    assert sorted(tuple(r) for r in read.collect()) == [("a_page_001", "one\ntwo\n"), ("b", "\n"), ("c", "\n")]
+    gt = tmp_path / "gt.json"
+    gt.write_text(json.dumps([layout("x/a_page_001.png", ["one two"]), layout("b.png", ["z"])]))
+    pages, summary, lacking = jobs.evaluate(spark, str(gt), out)
+    assert sorted((r["page_id"], r["cer"]) for r in pages.collect()) == [("a_page_001", 0.0), ("b", 100.0)] and lacking.count() == 1
+    with pytest.raises(Exception, match="not a file name"):
+        sinks.page_files(spark.createDataFrame([("a/b", "x")], "page_id string, text string"), out)
+
+
+def test_overlays_leave_what_is_there(spark, tmp_path):
+    import numpy as np
+
+    from pagewright.functions import png
+
+    (tmp_path / "in").mkdir()
+    for n in ("a_page_001.png", "b_page_001.png"):
+        (tmp_path / "in" / n).write_bytes(png.encode(np.full((20, 30), 255, np.uint8)))
+    images = records.images(spark, str(tmp_path / "in"))
+    boxes = spark.sql("SELECT 'a_page_001.png' AS name, array(named_struct('x0', 1, 'y0', 1, 'x1', 9, 'y1', 9, 'text', 't')) AS boxes UNION ALL SELECT 'b_page_001.png', array()")
+    out = str(tmp_path / "viz")
+    assert sinks.overlays(images, boxes, out) == 2
+    seen = png.decode((tmp_path / "viz" / "a_page_001.png").read_bytes())
+    assert seen.shape == (20, 30, 3) and seen[1, 5].tolist() == [0, 0, 0] and seen[15, 25].tolist() == [255] * 3
+    assert sinks.overlays(images, boxes, out) == 0 and sinks.overlays(images, boxes, out, overwrite=True) == 2
