@@ -1,11 +1,15 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample and holds centroids only; every row of
-the table is then assigned to a leaf.  A query walks the tree best bin first: a
-priority queue holds open branches by distance, the nearest is opened, and
-leaves are visited in that order.  How many leaves are visited is calibrated:
-the number is widened until sampled queries, held against brute force over a
-sample, reach the wanted recall.
+The tree holds centroids only and grows with the table: its upper levels are
+fitted on a bounded sample, and where that is too small for as many leaves as
+the table needs, each branch is fitted further on a bounded sample of its own
+rows.  Every row of the table is then assigned to a leaf.  A query walks the
+tree best bin first: a priority queue holds open branches by distance, the
+nearest is opened, and leaves are visited in that order.  How many leaves are
+visited is calibrated: the number is widened until sampled queries, held
+against brute force over a sample without themselves, reach the wanted recall.
+Vectors without any structure have their neighbours in nearly all leaves, and
+calibration then says so; clustered ones need few.
 
 Leaves are searched in blocks of bounded size, so a leaf with a third of all
 rows is many tasks; each block returns at most k rows for a query.
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import save, ship
+from pagewright.llm.common import drop, save, ship
 
 
 class Tree(NamedTuple):
@@ -104,20 +108,80 @@ def best_bins(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
 
 def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
     """The least number of leaf visits (widened by half each time) with the wanted recall on the sample."""
-    probe = sample[:: max(1, len(sample) // queries)]
-    leaves = assign(tree, sample)
+    at = np.arange(0, len(sample), max(1, len(sample) // queries))
+    probe, leaves = sample[at], assign(tree, sample)
     scores = probe @ sample.T
-    top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+    scores[np.arange(len(at)), at] = -np.inf  # a query is not its own neighbour
+    top = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
     most = int(tree.leaf.max()) + 1
+    # The place at which each query's walk comes to each of its neighbours' leaves.
+    place = np.empty(most, np.int64)
+    need = []
+    for q, t in zip(probe, top, strict=True):
+        place[best_bins(tree, q, most)] = np.arange(most)
+        need.append(place[leaves[t]])
+    need = np.concatenate(need) if need else np.zeros(0)
     visits = 1
-    while visits < most:
-        got = [np.isin(leaves[t], best_bins(tree, q, visits)).mean() for q, t in zip(probe, top, strict=True)]
-        if np.mean(got) >= recall:
-            break
-        visits = min(most, visits + max(1, visits // 2))
+    while visits < most and len(need) and (need < visits).mean() < recall:
+        visits = min(most, visits + max(1, visits // 8))
     return visits
 
 
+def graft(tree: Tree, parts: dict[int, Tree]) -> Tree:
+    """The tree with some of its leaves replaced by trees; leaves numbered anew."""
+    centroids, first, count = [tree.centroids], tree.first.copy(), tree.count.copy()
+    firsts, counts, made = [first], [count], len(first)
+    for node in np.flatnonzero(tree.count == 0):
+        part = parts.get(int(tree.leaf[node]))
+        if part is None or len(part.count) < 2:
+            continue
+        # The part's root is this node; its other nodes follow all there are.
+        first[node], count[node] = part.first[0] - 1 + made, part.count[0]
+        centroids.append(part.centroids[1:])
+        firsts.append(np.where(part.count[1:] > 0, part.first[1:] - 1 + made, 0))
+        counts.append(part.count[1:])
+        made += len(part.count) - 1
+    first, count = np.concatenate(firsts), np.concatenate(counts)
+    leaf = np.where(count == 0, np.cumsum(count == 0) - 1, -1)
+    return Tree(np.concatenate(centroids), first, count, leaf)
+
+
+#: Components of all centroids of a tree: 64 MB, broadcast.
+MOST_COMPONENTS = 8_000_000
+
+
+def deepen(rows: DataFrame, top: Tree, branch: int, leaves: int, sample_rows: int) -> Tree:
+    """Fit the leaves of ``top`` further, each on about ``sample_rows`` of its rows, towards ``leaves`` leaves in all."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(top)
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                x = unit(_matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(assign(sent.value, x).astype(np.int32))], names=["vec_id", "v", "leaf"])
+
+    placed, placed_at = save(rows.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<double>, leaf int"))
+    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each leaf of a tree fitted on a bounded sample
+    total = sum(sizes.values())
+    wanted = {leaf: max(1, round(leaves * n / total)) for leaf, n in sizes.items()}
+    share = F.create_map(*[F.lit(x) for leaf, n in sizes.items() for x in (leaf, min(1.0, sample_rows / n))])
+    draw = F.pmod(F.xxhash64("vec_id", "v", F.lit(12)), F.lit(1 << 30)) < F.element_at(share, F.col("leaf")) * float(1 << 30)
+
+    def run(key, table):
+        leaf = key[0].as_py()
+        x = unit(_matrix(table.column("v")))
+        part = fit(x, branch, max(8, -(-len(x) // wanted[leaf])), seed=leaf)
+        cols = [part.centroids.tobytes(), *(c.astype(np.int64).tobytes() for c in part[1:])]
+        return pa.table([pa.array([leaf], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], names=["at", *Tree._fields])
+
+    made = placed.where(draw).groupBy("leaf").applyInArrow(run, "at int, " + ", ".join(f"{n} binary" for n in Tree._fields))
+    dim = top.centroids.shape[1]
+    parts = {r["at"]: Tree(np.frombuffer(r["centroids"]).reshape(-1, dim), *(np.frombuffer(r[n], np.int64) for n in Tree._fields[1:])) for r in made.toLocalIterator()}
+    drop(spark, placed_at)
+    return graft(top, parts)
+
+
 def usable(vec: Column) -> Column:
     """Vectors that take part: not null, with finite components only, not all zero."""
     fine = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -145,6 +209,17 @@ def _top(queries: np.ndarray, qid: np.ndarray, rows: np.ndarray, vid: np.ndarray
         yield np.full(len(pick), qid[i]), vid[pick], near[pick]
 
 
+def build(rows: DataFrame, picked: np.ndarray, total: int, k: int, branch: int, leaf_rows: int, recall: float, sample_rows: int) -> tuple[Tree, int]:
+    """The tree for ``total`` rows from the unit vectors of a sample, and the leaves to visit."""
+    leaves = max(1, min(total // leaf_rows, MOST_COMPONENTS // picked.shape[1] // 2))
+    size = -(-len(picked) // leaves)
+    tree = fit(picked, branch, max(8, size))
+    if size < 8 and len(picked) < total:
+        top = fit(picked, branch, max(8, len(picked) // branch))
+        tree = deepen(rows, top, branch, leaves, sample_rows)
+    return tree, calibrate(tree, picked, k, recall)
+
+
 def search(
     table: DataFrame,
     queries: Column,
@@ -153,18 +228,22 @@ def search(
     vec: str = "embedding",
     sample_rows: int = 20_000,
     branch: int = 12,
-    leaf_rows: int = 1500,
-    recall: float = 0.995,
+    leaf_rows: int = 500,
+    recall: float = 0.95,
     block_rows: int = 4096,
 ) -> DataFrame:
     """The k nearest rows by cosine of every row for which ``queries`` holds: query_id, rank, vec_id, score.
 
-    sample_rows bounds what the tree and the number of visits are fitted on
-    (fewer where vectors are long: 4,000,000 components at most).
+    sample_rows bounds what the tree, each of its branches and the number of
+    visits are fitted on (fewer where vectors are long: 4,000,000 components at
+    most); leaves hold about leaf_rows rows, as long as all centroids have
+    8,000,000 components at most.  recall is what the visits are calibrated to.
     Every usable row is indexed; fewer than k candidates give all.  Vectors that
     are null, zero, or hold null or non-finite components take no part, nor do
     rows with a null id, nor vectors of another length than the first one's.
-    Rows with one id are each a candidate for other ids, and one query (the least vector).  An empty table gives no rows.
+    Rows with one id are each a candidate for other ids, and one query (the least
+    vector).  Ties go to the smaller id.  An empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
     spark = table.sparkSession
     ship(spark)
@@ -182,9 +261,7 @@ def search(
     # Bounded: about sample_rows vectors; twice that cannot be passed.
     picked = np.array([r["v"] for r in rows.where(draw).select("v").limit(2 * sample_rows).toLocalIterator()] or [r["v"] for r in rows.select("v").limit(1).collect()])
     picked = unit(picked)
-    # Leaves of about leaf_rows rows of the table, so of fewer in the sample.
-    tree = fit(picked, branch, max(8, int(leaf_rows * len(picked) / total)))
-    visits = calibrate(tree, picked, k, recall)
+    tree, visits = build(rows, picked, total, k, branch, leaf_rows, recall, sample_rows)
     sent = spark.sparkContext.broadcast(tree)
 
     def index(batches):

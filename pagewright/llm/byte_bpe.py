@@ -1,9 +1,22 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries.
 
 In each task the distinct pieces of a batch become token-position rows.  A
-recursive query joins neighbours to the merge table, contracts every piece's
-leftmost pair of least rank, and goes on until no pair merges; an ordered
+recursive query joins neighbours to the merge table, contracts every word's pairs
+of least rank from the left, and goes on until no pair merges; an ordered
 aggregation of token bytes decodes.
+
+All places of a word's least rank are contracted in one step, those that overlap
+in turn.  That equals one by one: a merge makes token r out of a pair of rank r,
+and no pair with r in it has a lower rank: else r and its neighbour together are a
+token of lower rank, which their bytes, met by no merge from outside, would have
+become before.  That takes a file in which every token is made of its own bytes
+by merges of lower rank; those with a part of higher rank are tried when the file
+is read, and a file that does otherwise gets one place a step.
+
+Pieces are cut into words where no token of the vocabulary holds the two bytes
+side by side: no merge ever crosses such a place.  The recursion is keyed by
+position and holds its last state only, so a piece of any length takes memory in
+proportion to it, and time in proportion but for the words that go on longest.
 """
 
 from __future__ import annotations
@@ -25,28 +38,49 @@ from pagewright.llm.wordsplit import ragged, raw_bytes, split
 CHUNK = 6_000_000
 #: Distinct pieces that a Python worker remembers between batches (about 100 MB).
 REMEMBERED = 400_000
-#: A row's key k is the piece's number, then 24 bits for the position in it.
+#: Bytes that go through the recursion at once; a longer word goes alone.
+ROWS = 250_000
+#: k: places, one left out between words, so that no two words are neighbours; places that a merge frees hold -1.
+#: one: words with one place to contract, where all behind it moves up by one; many: the others, whose rows are counted anew.
+#: Of overlapping places the first, third and so on are contracted; {first} limits a step to a word's first place.
 ENCODE = """
-WITH RECURSIVE state(step, k, tok) AS (
-    SELECT 0, k, tok FROM start
+WITH RECURSIVE state(k, w, tok) USING KEY (k) AS (
+    SELECT k, w, tok FROM start
   UNION ALL
     (WITH pair AS MATERIALIZED (
-        SELECT a.step, a.k, a.tok, a.k >> 24 AS w, b.tok AS right_tok, m.rank
+        SELECT a.k, a.w, a.tok, m.rank
         FROM state a
-        LEFT JOIN state b ON b.k = a.k + 1
+        LEFT JOIN state b ON b.k = a.k + 1 AND b.tok >= 0
         LEFT JOIN merges m ON m.pair = (a.tok::BIGINT << 32) + b.tok
-     ), best AS (
-        SELECT w, min((rank::BIGINT << 24) + (k & 16777215)) AS at FROM pair WHERE rank IS NOT NULL GROUP BY w
+        WHERE a.tok >= 0
+     ), best AS MATERIALIZED (
+        SELECT w, min(rank) AS rank, arg_min(k, (rank, k)) AS k FROM pair WHERE rank IS NOT NULL GROUP BY w
+     ), hit AS MATERIALIZED (
+        SELECT p.k, p.w FROM pair p JOIN best ON p.w = best.w AND p.rank = best.rank {first}
+     ), many AS MATERIALIZED (
+        SELECT w FROM hit GROUP BY w HAVING count(*) > 1
+     ), one AS MATERIALIZED (
+        SELECT w, k FROM best ANTI JOIN many ON many.w = best.w
+     ), left_one AS MATERIALIZED (
+        SELECT k FROM (SELECT k, row_number() OVER (PARTITION BY w, run ORDER BY k) AS nth
+        FROM (SELECT h.k, h.w, h.k - row_number() OVER (PARTITION BY h.w ORDER BY h.k) AS run FROM hit h SEMI JOIN many ON many.w = h.w)) WHERE nth % 2 = 1
+     ), kept AS MATERIALIZED (
+        SELECT p.w, CASE WHEN l.k IS NULL THEN p.tok ELSE p.rank END AS tok, row_number() OVER (PARTITION BY p.w ORDER BY p.k) AS nth
+        FROM pair p SEMI JOIN many ON many.w = p.w LEFT JOIN left_one l ON l.k = p.k ANTI JOIN left_one r ON r.k = p.k - 1
+     ), ends AS (
+        SELECT p.w, min(p.k) AS k, max(p.k) AS until FROM pair p SEMI JOIN best ON best.w = p.w GROUP BY p.w
+     ), size AS (
+        SELECT w, count(*) AS n FROM kept GROUP BY w
      )
-     SELECT p.step + 1,
-            p.k - CASE WHEN (p.k & 16777215) > (best.at & 16777215) THEN 1 ELSE 0 END,
-            CASE WHEN (p.k & 16777215) = (best.at & 16777215) THEN p.rank ELSE p.tok END
-     FROM pair p JOIN best ON p.w = best.w
-     WHERE (p.k & 16777215) <> (best.at & 16777215) + 1)
+     SELECT p.k - (p.k > one.k)::BIGINT, p.w, CASE WHEN p.k = one.k THEN p.rank ELSE p.tok END FROM pair p JOIN one ON one.w = p.w WHERE p.k <> one.k + 1
+     UNION ALL
+     SELECT e.until, e.w, -1 FROM ends e SEMI JOIN one ON one.w = e.w
+     UNION ALL
+     SELECT e.k + kept.nth - 1, e.w, kept.tok FROM kept JOIN ends e ON e.w = kept.w
+     UNION ALL
+     SELECT unnest(range(e.k + s.n, e.until + 1)), e.w, -1 FROM ends e JOIN size s ON s.w = e.w)
 )
-SELECT s.k >> 24 AS w, s.k & 16777215 AS pos, s.tok
-FROM state s JOIN (SELECT k >> 24 AS w, max(step) AS step FROM state GROUP BY 1) f ON f.w = s.k >> 24 AND f.step = s.step
-ORDER BY s.k
+SELECT w, tok FROM state WHERE tok >= 0 ORDER BY k
 """
 DECODE = """
 SELECT w, unhex(string_agg(t.hex, '' ORDER BY pos)) AS bytes
@@ -68,8 +102,26 @@ class ByteBPE:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         tokens = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM tokens")
+        odd = np.unique(rank[(left > rank) | (right > rank)]).tolist()
+        by_rank = {r: t for t, r in self.ranks.items()}
+        self.encode_sql = ENCODE.format(first="" if all(self.made_from_below(by_rank[r]) for r in odd) else "AND p.k = best.k")
+        self.joined = np.zeros(1 << 16, bool)
+        for t in self.ranks:
+            both = np.frombuffer(t, np.uint8).astype(np.int64)
+            self.joined[(both[:-1] << 8) + both[1:]] = True
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
+    def made_from_below(self, token: bytes) -> bool:
+        """Whether merges, least rank first, make the token of its bytes without one of a higher rank."""
+        parts, most = [token[i : i + 1] for i in range(len(token))], self.ranks[token]
+        while len(parts) > 1:
+            ranks = [self.ranks.get(a + b, most + 1) for a, b in zip(parts, parts[1:], strict=False)]
+            at = ranks.index(min(ranks))
+            if ranks[at] > most:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return True
+
     def look_up(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Ids end to end, n+1 offsets and decoded bytes of every piece; only pieces not met before go through DuckDB."""
         strings = words.to_pylist()
@@ -94,18 +146,26 @@ class ByteBPE:
         whole = np.fromiter((self.ranks.get(w.encode(), -1) for w in words.to_pylist()), np.int32, n)
         work = np.flatnonzero(whole < 0)
         size = np.diff(off)[work]
-        if len(work) and size.max() >= 1 << 24:
-            raise ValueError("a piece of 16 MB without white space")
         ids_w, ids_t = [np.flatnonzero(whole >= 0)], [whole[whole >= 0]]
         if len(work):
-            at = ragged(off[work], size)
-            begin = np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-            key = (np.repeat(work, size) << 24) + (np.arange(len(at)) - begin)
-            self.db.register("start", pa.table({"k": key, "tok": self.single[data[at]]}))
-            got = self.db.sql(ENCODE).to_arrow_table()
-            self.db.unregister("start")
-            ids_w.append(got["w"].to_numpy())
-            ids_t.append(got["tok"].to_numpy())
+            byte = data[ragged(off[work], size)].astype(np.int64)
+            begins = np.zeros(len(byte), bool)  # of words
+            begins[np.cumsum(size) - size] = True
+            begins[1:] |= ~self.joined[(byte[:-1] << 8) + byte[1:]]
+            word = np.cumsum(begins) - 1
+            start = pa.table({"k": np.arange(len(byte)) + word, "w": word, "tok": self.single[byte]})
+            owner = np.repeat(work, size)[begins]
+            heads = np.flatnonzero(begins)
+            at = 0
+            while at < len(byte):  # whole words, of about ROWS bytes in all
+                to = np.searchsorted(heads, at + ROWS)
+                to = int(heads[to]) if to < len(heads) else len(byte)
+                self.db.register("start", start.slice(at, to - at))
+                got = self.db.sql(self.encode_sql).to_arrow_table()
+                self.db.unregister("start")
+                ids_w.append(owner[got["w"].to_numpy()])
+                ids_t.append(got["tok"].to_numpy())
+                at = to
         w, t = np.concatenate(ids_w), np.concatenate(ids_t)
         order = np.argsort(w, kind="stable")
         return t[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(w, minlength=n))])
@@ -142,7 +202,10 @@ def encode_decode(docs: DataFrame, ranks: str, keep_ids: bool = False) -> DataFr
 
     doc_id, n_tokens, and the SHA-256 of the ids (little-endian unsigned 32-bit)
     and of the decoded bytes; with ``keep_ids`` also the ids and the bytes.
-    Null text counts as empty; null and repeated doc_ids stay, a row each.
+    Null text counts as empty; null and repeated doc_ids stay, a row each, and
+    equal rows give equal rows.  Texts and pieces of any length are encoded
+    whole.  An empty table gives no rows; further columns are ignored, whatever
+    their names.
     """
     ship(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep_ids

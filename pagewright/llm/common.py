@@ -97,8 +97,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
 HOT_SHARE = 1000
 
 
-def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has each key once and in ``n`` the number of rows it will meet.
+def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with ``table``, which has each key once and in ``n`` the number of rows it will meet.
 
     A key that holds more than a thousandth of all those rows would make one
     task of them.  There are fewer than a thousand such keys whatever the data,
@@ -109,7 +109,7 @@ def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> Dat
     hot = F.col(n) * HOT_SHARE > total
     some = F.broadcast(table.where(hot).drop(n))
     rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti")
-    return rows.join(some, keys).unionByName(rest.join(table.where(~hot).drop(n).hint("merge"), keys))
+    return rows.join(some, keys).unionByName(rest.join(table.where(~hot).drop(n).hint("merge"), keys, how))
 
 
 #: 64-bit words of the filter that tells which rows may have a partner: 2 MiB, whatever the tables hold.

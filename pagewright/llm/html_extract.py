@@ -4,7 +4,11 @@ Tokens (start and end tags in their container, and text blocks) with the same
 occurrence vector over a host's pages form an equivalence class.  Classes that
 occur on enough pages and hold both ends of a container are valid; nested by
 container they are the host's template, and what lies between their tokens are
-slots.  The slots of the article's container are the main text.
+slots.  The slots of the article's container are the main text.  The template
+decides: its constant text goes wherever it stands, and the container is the
+innermost of its containers with half of a page's slot text, where tags and
+class words only say how much a text weighs.  Hosts without a template (fewer
+pages than ``least``) have nothing but the tags.
 
 Occurrence vectors are never built: a token's vector is known by its number of
 pages, its total count and two sums of page hashes weighted by count, which add
@@ -23,11 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import save, ship, text_chunks, texts_of
+from pagewright.llm.common import drop, save, ship, skew_join, text_chunks, texts_of
 
 CHUNK = 8_000_000
-#: Templates up to this many bytes in all are broadcast; beyond that pages are joined by host.
-BROADCAST_BYTES = 8 << 20
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -64,6 +66,7 @@ class Box(NamedTuple):
     hard: bool  # by its element never main text, or inside such
     soft: bool  # so by class, id or role
     region: int  # 2 inside an article, 1 inside main, else 0
+    depth: int  # where the outermost of these stands among its containers, else 0
 
 
 class Block(NamedTuple):
@@ -95,7 +98,7 @@ def read_page(html: str) -> tuple[list[Block], dict[int, int]]:
     Unclosed and stray tags are taken as browsers do: a block start ends an open
     paragraph, an end tag ends what was opened inside its element.
     """
-    root = Box("", 0, False, False, 0)
+    root = Box("", 0, False, False, 0, 0)
     stack, keys = [root], [0]
     blocks: list[Block] = []
     seen: dict[int, int] = defaultdict(int)
@@ -177,7 +180,7 @@ def read_page(html: str) -> tuple[list[Block], dict[int, int]]:
             soft = False
         key = key_of("tag", name, said, str(keys[-1]))
         seen[key] += 1
-        stack.append(Box(name, key, hard, soft, max(up.region, opens)))
+        stack.append(Box(name, key, hard, soft, max(up.region, opens), len(keys) if opens > up.region else up.depth))
         keys.append(key)
     flush()
     pop(1)
@@ -222,72 +225,99 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
-    """(host, template, main): the tokens of valid classes, and the container with most text in it first.
+    """(host, n, template, main): a host's pages, the tokens of its valid classes, and of these the containers that hold text.
 
     A class is valid when it occurs on ``share`` of the host's pages and on
     ``least`` at least, and holds more than one token.  At most 1/share times an
     average page's tokens pass, so a host's template is bounded by page size.
     """
-    found, _ = save(occurrences(pages))
+    found, at = save(occurrences(pages))
     hosts = found.where("token = 0").select("host", F.col("pages").alias("of"))
     often = found.where(F.col("pages") >= least).join(hosts, "host").where(F.col("pages") >= share * F.col("of"))
     classes = often.groupBy("host", "pages", "total", "s1", "s2").agg(
         F.collect_list(F.struct("token", "chars")).alias("tokens"), F.max("of").alias("of")
     )
     valid = classes.where((F.size("tokens") > 1) & (F.col("total") >= F.col("pages")))
-    one = valid.select("host", F.inline("tokens"))
-    return one.groupBy("host").agg(
-        F.collect_list("token").alias("template"),
-        F.transform(F.slice(F.sort_array(F.collect_list(F.struct("chars", "token")), asc=False), 1, 64), lambda x: x["token"]).alias("main"),
-    )
+    one = valid.select("host", "of", F.inline("tokens"))
+    holding = F.collect_list(F.when(F.col("chars") > 0, F.col("token"))).alias("main")
+    known, _ = save(one.groupBy("host").agg(F.max("of").alias("n"), F.collect_list("token").alias("template"), holding))
+    drop(pages.sparkSession, at)
+    return known
+
+
+#: What a character weighs in no article, in main, and in an article.
+WEIGHTS = (1, 2, 4)
+#: Templates up to this many bytes in all are broadcast; beyond that pages are joined by host, hot hosts apart.
+BROADCAST_BYTES = 8 << 20
+
+
+def by_tags(own: list[Block], slots: list[Block]) -> list[Block]:
+    """The slots in an article, else in main, else all."""
+    for level in (2, 1):
+        if inside := [b for b in own if b.box.region >= level]:
+            return [b for b in slots if b.box.region >= level] or inside
+    return slots
 
 
-def main_text(blocks: list[Block], template: set[int], by_mass: list[int]) -> list[str]:
-    """The blocks in the slots of the article's container.
+def main_blocks(blocks: list[Block], template: set[int], containers: set[int]) -> tuple[list[Block], bool]:
+    """The blocks in the slots of the article's container, and whether the template chose it.
 
-    That is an article element, else main, else the innermost template container
-    with at least half of the page's remaining text; else all that is not around
-    the main text.  Blocks that the template holds as constant text are not main
-    text, in an article neither; only an article of which nothing else is left
-    (the same page many times on a host) stays as it is.
+    The container is the innermost of the template's with half of the weight of
+    the page's slots; an article or main counts as one, not its parts.  If it
+    is wider than the article, because that differs from page to page, the
+    article's slots stand for it where they have half of its weight.  Constant text is
+    not main text, in an article neither; only an article of which nothing else
+    is left (the same page many times on a host) stays as it is.
     """
     own = [b for b in blocks if not (b.box.hard or b.box.soft)]
     slots = [b for b in own if key_of("text", str(b.boxes[-1]), b.text) not in template]
+    weight = {id(b): len(b.text) * WEIGHTS[b.box.region] for b in slots}
+    inside: dict[int, list[Block]] = defaultdict(list)
+    for b in slots:
+        for k in dict.fromkeys(b.boxes[1 : b.box.depth + 1] if b.box.depth else b.boxes[1:]):
+            if k in containers:
+                inside[k].append(b)
+    mass = {k: sum(weight[id(b)] for b in v) for k, v in inside.items()}
+    half = [k for k in inside if 2 * mass[k] >= sum(weight.values())]
+    if not half:
+        return by_tags(own, slots), False
+    best = inside[min(half, key=lambda k: len(inside[k]))]
     for level in (2, 1):
-        if inside := [b for b in own if b.box.region >= level]:
-            return [b.text for b in slots if b.box.region >= level] or [b.text for b in inside]
-    own = slots
-    whole = sum(len(b.text) for b in own)
-    best = own
-    for k in by_mass:
-        inside = [b for b in own if k in b.boxes[1:]]
-        if 2 * sum(len(b.text) for b in inside) >= whole and len(inside) < len(best):
-            best = inside
-    return [b.text for b in best]
+        part = [b for b in best if b.box.region >= level]
+        if part and 2 * sum(weight[id(b)] for b in part) >= sum(weight[id(b)] for b in best):
+            return part, True
+    return best, True
+
+
+def main_text(blocks: list[Block], template: set[int], containers: set[int]) -> list[str]:
+    return [b.text for b in main_blocks(blocks, template, containers)[0]]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     Null html counts as empty; a page without main text has the empty string.
-    Pages with null or odd urls share the host ''.  Every row is a page of its
-    own, also where rows repeat; further columns are ignored.
+    Pages with null or odd urls share the host ''.  Pages of any length are read
+    whole.  Every row is a page of its own, also where rows repeat; of containers
+    with equal blocks any gives the same text.  An empty table gives no rows;
+    further columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     ship(spark)
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    known, _ = save(templates(own))
+    known = templates(own)
     bytes_ = known.agg(F.coalesce(F.sum(8 * (F.size("template") + F.size("main")) + 64), F.lit(0))).first()[0]
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    joined = own.withColumn("host", host).join(F.broadcast(known) if bytes_ <= BROADCAST_BYTES else known, "host", "left")
+    joined = own.withColumn("host", host)
+    joined = joined.join(F.broadcast(known.drop("n")), "host", "left") if bytes_ <= BROADCAST_BYTES else skew_join(joined, known, ["host"], "n", "left")
 
     def run(batches):
         for table in text_chunks(batches, CHUNK, "html"):
-            sets: dict[str, tuple[set, list]] = {}
+            sets: dict[str, tuple[set, set]] = {}
             texts = []
             for i, (host, page) in enumerate(zip(table.column("host").to_pylist(), texts_of(table, "html"), strict=True)):
                 if host not in sets:
-                    sets[host] = set(table.column("template")[i].as_py() or ()), table.column("main")[i].as_py() or []
+                    sets[host] = set(table.column("template")[i].as_py() or ()), set(table.column("main")[i].as_py() or ())
                 texts.append("\n".join(main_text(read_page(page)[0], *sets[host])))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -13,11 +13,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from pagewright.llm.common import ship, text_chunks, texts_of
+from pagewright.llm.common import save, ship, skew_join, text_chunks, texts_of
 from pagewright.llm.wordsplit import LETTER, classes, split
 
 CHUNK = 2_000_000
@@ -37,9 +36,11 @@ class Model(NamedTuple):
 
 def sample(labelled: DataFrame, per_lang: int) -> DataFrame:
     """About ``per_lang`` rows of each lang, picked by a hash of doc_id; all if there are fewer."""
-    rate = labelled.groupBy("lang").agg((F.lit(per_lang) / F.count(F.lit(1))).alias("rate"))
+    rate, _ = save(labelled.groupBy("lang").agg((F.lit(per_lang) / F.count(F.lit(1))).alias("rate"), F.count(F.lit(1)).alias("n")))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.join(F.broadcast(rate), "lang").where(draw < F.col("rate")).drop("rate")
+    # Rows beyond every language's rate go before the join, by the largest one.
+    most = rate.agg(F.max("rate")).first()[0] or 0.0
+    return skew_join(labelled.where(draw < most), rate, ["lang"], "n").where(draw < F.col("rate")).drop("rate")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -71,15 +72,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, per_lang: int = 1500, vocabulary: int = 20_000, n_grams: int = 20_000, longest: int = 5) -> Model:
     """Learn from rows with text and lang, at most about ``per_lang`` of each language.
 
-    vocabulary, n_grams: the most frequent words and n-grams kept for each
-    language.  That bounds the model whatever the corpus.  Without any labelled
-    row the model has no language.
+    per_lang bounds the rows that are learned from.  vocabulary, n_grams: the
+    most frequent words, and n-grams of these words, that the model keeps for
+    each language (ties by spelling), which bounds it whatever the texts.  Every
+    language with a word in its sample is learned, also where no word repeats.
+    Null or empty texts teach nothing; without any labelled row the model has no
+    language.
     """
     usable = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     counts = word_counts(sample(usable, per_lang))
     top: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    # The sample is bounded, and so are its distinct words; a word met once says little.
-    for r in counts.where("n > 1").toLocalIterator():
+    # At most ``vocabulary`` words a language come to the driver.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    for r in counts.withColumn("place", place).where(F.col("place") <= vocabulary).toLocalIterator():
         top[r["lang"]].append((r["word"], r["n"]))
     langs = sorted(top)
     words, grams = [], []
@@ -167,24 +172,25 @@ def predict(docs: DataFrame, model: Model, keep: list[Column] = ()) -> DataFrame
     """lang_pred and score (the language's share of the posterior) of every whole text.
 
     ``und`` with score 0 where the text is null, empty or without a letter, or
-    the model has no language.  keep: the columns to carry; by default doc_id.
+    the model has no language; ties go to the first language by name.  Texts of
+    any length are read whole.  keep: the columns to carry, by default doc_id; a
+    column with the name of a result gives way to it.  Rows that repeat stay, an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    kept = docs.select(*(keep or [F.col("doc_id")]))
-    names = kept.columns
-    schema = StructType([*kept.schema.fields]).add("lang_pred", "string").add("score", "double")
-    given = kept if "text" in names else docs.select(*(keep or [F.col("doc_id")]), F.col("text").cast("string").alias("text"))
+    keep = [c for c in keep or [F.col("doc_id")] if docs.select(c).columns[0] not in ("lang_pred", "score")]
+    given = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = given.select("row").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         scorer = Scorer(sent.value)
         for table in text_chunks(batches, CHUNK):
             langs, scores = scorer.texts(texts_of(table))
-            cols = [table.column(i).combine_chunks() for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([table.column("row").combine_chunks(), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
 
 
 def held_out() -> Column:

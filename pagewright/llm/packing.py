@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import wordbpe
-from pagewright.llm.common import save, ship, text_chunks, texts_of
+from pagewright.llm.common import drop, save, ship, text_chunks, texts_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MEMBERS = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
@@ -35,6 +35,8 @@ def cut(docs: DataFrame, tokenizer: str, limit: int, end_id: int = 0) -> DataFra
 
     One row per piece.  Null and empty texts are the end id alone; null or
     repeated doc_ids are kept as they are, each row being a document of its own.
+    Texts of any length are encoded whole.  An empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
     ship(docs.sparkSession)
 
@@ -118,21 +120,24 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_items: int = 3000, fan_i
     """Give every piece a sequence_id and an offset.
 
     pieces: rows as :func:`cut` makes them (length from 1 to ``capacity``).
-    slack: bins with so few tokens free are emitted at once.  An empty input
-    gives an empty result.
+    slack: bins with so few tokens free are emitted at once.  Groups are drawn
+    by row, so rows that repeat spread like others.  An empty input gives an
+    empty result; pieces of one length are ties, packed in any order.
     """
     ship(pieces.sparkSession)
-    pieces, _ = save(pieces)
+    pieces, at = save(pieces)
     groups, level = max(1, -(-pieces.count() // group_items)), 0
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     items = pieces.select(
-        F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).alias("grp"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("grp"),
         F.col("length").alias("size"),
         F.array(member).alias("members"),
     )
     out = []
     while True:
         made, _ = save(items.groupBy("grp").applyInArrow(_round(level, groups, capacity, fan_in, slack), f"seq long, grp long, size long, members {MEMBERS}"))
+        if not level:
+            drop(pieces.sparkSession, at)
         out.append(made.where("seq is not null").select("seq", "members"))
         if groups == 1:
             break

@@ -70,6 +70,25 @@ def test_html_takes_constant_text_out_of_articles(spark):
         assert text == ("Head {0}\nText of page {0}." if i < 20 else full).format(0 if 20 <= i < 30 else i % 10)
 
 
+def test_html_template_chooses_the_container(spark):
+    extra = "<p>Promoted {0} times</p>"
+    rows = []
+    for i in range(6):
+        words = f"Words of page {i} that go on for a while, as the text of a page does."
+        # No article; deep containers, more than 64 of them, of which one has the text.
+        rows.append((i, f"http://g.org/{i}", page(f"<div class='outer'><div class='col'><div class='txt'><p>{words}</p><p>{words * 6}</p></div></div>" + "".join(f"<div class='p{j}'><p>s{i}{j}</p></div>" for j in range(70)) + "</div>")))
+        # Teasers are articles too, beside the one with the text.
+        rows.append((10 + i, f"http://h.org/{i}", page(f"<div><article class='card'><p>See {i}</p></article></div><article class='full'><h1>H{i}</h1><p>{words}</p></article>{extra.format(i)}")))
+        # The article's id differs from page to page, so its own tag is no part of the template.
+        rows.append((20 + i, f"http://i.org/{i}", page(f"<div class='page'><article id='n{i}'><p>{words}</p></article><p>z{i}</p></div>")))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        words = f"Words of page {i} that go on for a while, as the text of a page does."
+        assert got[i] == f"{words}\n{words * 6}" and got[10 + i] == f"H{i}\n{words}" and got[20 + i] == words
+    blocks, _ = html_extract.read_page(rows[0][2])
+    assert html_extract.main_blocks(blocks, set(), set())[1] is False
+
+
 def test_html_long_page():
     blocks, _ = html_extract.read_page("<article>" + "<p>x y" * 50_000)
     assert len(blocks) == 50_000
@@ -108,3 +127,51 @@ def test_nearest_of_few(spark):
     assert ann.search(few.limit(0), F.col("vec_id") == 0).count() == 0
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(20)], schema)
     assert [r["vec_id"] for r in ann.search(same, F.col("vec_id") == 3).orderBy("rank").collect()] == [0, 1, 2, 4, 5]
+
+
+def clusters(n, dim=16, groups=40, seed=3):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(groups, dim)) * 4
+    return centers[rng.integers(0, groups, n)] + rng.normal(size=(n, dim))
+
+
+def test_the_walk_leaves_most_leaves_of_clustered_vectors_unread(spark):
+    x = clusters(6000)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = table.select("vec_id", F.col("embedding").alias("v"))
+    # On a sample of 400 the tree must be fitted further, branch by branch.
+    for sample in (6000, 400):
+        picked = ann.unit(x[:: len(x) // sample])
+        tree, visits = ann.build(own, picked, len(x), 5, 8, 50, 0.95, sample)
+        leaves = int(tree.leaf.max()) + 1
+        assert sorted(tree.leaf[tree.count == 0].tolist()) == list(range(leaves)) and leaves >= 60
+        assert visits <= leaves // 3, (visits, leaves)
+        assert set(ann.best_bins(tree, picked[0], leaves)) == set(range(leaves))
+    got: dict = {}
+    for r in ann.search(table, F.col("vec_id") % 50 == 0, leaf_rows=50, sample_rows=400, branch=8).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(rows)
+    assert set(got) == set(want) and sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * 5 * len(want)
+
+
+def test_calibration_does_not_count_the_query_itself():
+    x = ann.unit(np.random.default_rng(0).normal(size=(3000, 64)))
+    tree = ann.fit(x, 12, 60)
+    visits, leaves = ann.calibrate(tree, x, 5, 0.95), int(tree.leaf.max()) + 1
+    probe = np.arange(0, 3000, 15)
+    near = x[probe] @ x.T
+    near[np.arange(len(probe)), probe] = -2
+    own = ann.assign(tree, x)
+    hits = [np.isin(own[np.argsort(-near[i])[:5]], ann.best_bins(tree, x[q], visits)).mean() for i, q in enumerate(probe)]
+    assert np.mean(hits) >= 0.95 and visits < leaves
+
+
+def test_a_language_whose_words_never_repeat_is_learned(docs):
+    rows = [(i, f"kalo{i} mite{i}", "aa") for i in range(30)] + [(100 + i, f"schupf{i} lingt{i}", "bb") for i in range(30)]
+    table = docs(rows).selectExpr("*", "'x' AS lang_pred")
+    model = langid.fit(table)
+    assert model.langs == ["aa", "bb"]
+    got = langid.predict(table, model, [F.col("doc_id"), F.col("lang_pred"), F.col("score"), F.col("kept")])
+    assert got.columns == ["doc_id", "kept", "lang_pred", "score"]
+    assert all(r["lang_pred"] == ("aa" if r["doc_id"] < 100 else "bb") for r in got.collect())

@@ -101,3 +101,41 @@ def test_packing_of_lengths_that_never_pair(spark):
     pieces = spark.range(500).selectExpr("id doc_id", "0 piece", "0L start", "1100L length", "0L ids_crc32").selectExpr("doc_id", "cast(piece as int) piece", "start", "length", "ids_crc32")
     got = packing.pack(pieces, 2048, group_items=50, fan_in=3)
     assert got.count() == 500 and got.select("sequence_id").distinct().count() == 500
+
+
+def test_very_long_pieces_equal_the_library():
+    import time
+
+    bpe = byte_bpe.ByteBPE(BYTE)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    r = random.Random(6)
+    words = "the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were when".split()
+    for piece in ("a" * 1_000_000, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "".join(r.choices(words, k=300_000))):
+        began = time.perf_counter()
+        flat, off, decoded = bpe.encode([piece, ""])
+        assert time.perf_counter() - began < 60
+        assert flat.tolist() == library.encode_ordinary(piece) and off[1] == off[2] and decoded == [piece.encode(), b""]
+
+
+def test_one_place_a_step_gives_the_same():
+    bpe = byte_bpe.ByteBPE(BYTE)
+    all_ = texts()
+    flat, off, _ = bpe.encode(all_)
+    bpe.encode_sql, bpe.known = byte_bpe.ENCODE.format(first="AND p.k = best.k"), {}
+    again, off_again, _ = bpe.encode(all_)
+    assert flat.tolist() == again.tolist() and off.tolist() == off_again.tolist()
+    # A vocabulary in which a token has a part of higher rank that its own bytes would not meet.
+    assert bpe.made_from_below(b"the")
+    bpe.ranks = {b"a": 0, b"b": 1, b"c": 2, b"bc": 3, b"abc": 5, b"ab": 4, b"abcd": 9, b"d": 6, b"cd": 10}
+    assert bpe.made_from_below(b"abc") and bpe.made_from_below(b"abcd")
+    del bpe.ranks[b"bc"]
+    assert bpe.made_from_below(b"abc")
+    bpe.ranks[b"ab"] = 7
+    assert not bpe.made_from_below(b"abc")
+
+
+def test_rows_that_repeat_spread_over_groups(spark):
+    pieces = spark.createDataFrame([(None, 0, 0, 1, 5)] * 9000, packing.PIECES)
+    packed = packing.pack(pieces, 2048, group_items=1000)
+    assert packed.count() == 9000 and packed.groupBy("sequence_id").count().count() <= 9
+    assert packed.groupBy("sequence_id", "offset").count().where("count > 1").isEmpty()
