@@ -82,9 +82,10 @@ def fit(labelled: DataFrame, per_lang: int = 1500, vocabulary: int = 20_000, n_g
     usable = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     counts = word_counts(sample(usable, per_lang))
     top: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    # At most ``vocabulary`` words a language come to the driver.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    for r in counts.withColumn("place", place).where(F.col("place") <= vocabulary).toLocalIterator():
+    # At most ``vocabulary`` words a language come to the driver.  A word met once says little, unless there are no others.
+    by_lang = Window.partitionBy("lang")
+    own = counts.withColumns({"place": F.row_number().over(by_lang.orderBy(F.desc("n"), "word")), "most": F.max("n").over(by_lang)})
+    for r in own.where((F.col("place") <= vocabulary) & ((F.col("n") > 1) | (F.col("most") == 1))).toLocalIterator():
         top[r["lang"]].append((r["word"], r["n"]))
     langs = sorted(top)
     words, grams = [], []

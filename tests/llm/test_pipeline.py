@@ -46,3 +46,32 @@ def test_empty_table(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_stages_with_nulls_repeats_ties_and_clashes(spark):
+    import random
+
+    import corpus_pipeline as cp
+
+    from pagewright.llm.common import save
+
+    r = random.Random(3)
+    sounds = {"aa": "kalo mite suna rako", "bb": "schu pfer ling tzau"}
+    speech = lambda lang, n: " ".join("".join(r.choices(sounds[lang].split(), k=r.randint(2, 4))) for _ in range(n))
+    run = "\n".join(speech("aa", 6) for _ in range(4))
+    rows = [(i, speech("aa" if i % 2 else "bb", 40), "aa" if i % 2 else "bb") for i in range(60)]
+    rows += [(100, None, "aa"), (101, "", "bb"), (102, "12 -- !", None), (103, " \n ", "aa")]
+    rows += [(104, rows[0][1], "bb"), (104, rows[0][1], "bb"), (105, rows[1][1], None), (None, speech("bb", 40), None)]
+    rows += [(110, speech("aa", 20) + "\n" + run, "aa"), (111, speech("aa", 20) + "\n" + run, None), (112, speech("bb", 30_000), "bb")]
+    docs = spark.createDataFrame([(*x, None, None, "n", "s", "k") for x in rows], "doc_id long, text string, lang string, source string, n_chars long, n_removed string, score string, k_id string")
+    kept = {}
+    for name, stage in cp.STAGES:
+        docs, _ = save(stage(spark, docs, ""))
+        kept[name] = docs
+    ids = {name: sorted((x["doc_id"] for x in df.collect()), key=lambda i: (i is None, i)) for name, df in kept.items()}
+    assert not {100, 101, 102, 103} & set(ids["language_id"]) and ids["language_id"].count(104) == 2 and None in ids["language_id"]
+    text = {x["doc_id"]: x["text"] for x in kept["line_dedup"].collect()}
+    assert text[110].endswith(run) and run not in text[111] and len(text[111]) > 0
+    assert 104 not in ids["near_dedup"] and 105 not in ids["near_dedup"] and {0, 1, None} <= set(ids["near_dedup"])
+    assert kept["suffix_dedup"].columns == list(cp.COLUMNS) and len(text[112]) > 100_000
+    assert set(ids["packing"]) == set(ids["suffix_dedup"])
