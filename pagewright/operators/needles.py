@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,10 +121,10 @@ def generate_seeded(instances: DataFrame, multiplier: int = 1, num_secrets: int
         asked = rng.sample(range(len(own)), multiplier)
         return own, asked
 
-    @F.udf("struct<secrets:array<struct<key:string,value:string>>,asked:array<int>>")
-    def choose(i):
-        own, asked = pick(i)
-        return own, asked
+    @F.pandas_udf("struct<secrets:array<struct<key:string,value:string>>,asked:array<int>>")
+    def choose(i: pd.Series) -> pd.DataFrame:
+        got = [pick(int(x)) for x in i]
+        return pd.DataFrame({"secrets": [[{"key": k, "value": v} for k, v in own] for own, _ in got], "asked": [a for _, a in got]})
 
     rows = instances.where(F.col("_id").isNotNull() & (F.coalesce("context", F.lit("")) != ""))
     if multiplier > num_secrets:
