@@ -110,6 +110,7 @@ class ByteBPE:
             both = np.frombuffer(t, np.uint8).astype(np.int64)
             self.joined[(both[:-1] << 8) + both[1:]] = True
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
 
     def made_from_below(self, token: bytes) -> bool:
         """Whether merges, least rank first, make the token of its bytes without one of a higher rank."""
@@ -125,8 +126,10 @@ class ByteBPE:
     def look_up(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Ids end to end, n+1 offsets and decoded bytes of every piece; only pieces not met before go through DuckDB."""
         strings = words.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED // 2:  # what is not met again before the next turn is forgotten
+            self.known, self.before = {}, self.known
+        if self.before:
+            self.known.update({w: self.before[w] for w in strings if w in self.before and w not in self.known})
         if new := [w for w in strings if w not in self.known]:
             ids, off = self.encode_words(pa.array(new, pa.string()))
             raw = ids.astype("<u4").tobytes()
@@ -148,28 +151,40 @@ class ByteBPE:
         size = np.diff(off)[work]
         ids_w, ids_t = [np.flatnonzero(whole >= 0)], [whole[whole >= 0]]
         if len(work):
-            byte = data[ragged(off[work], size)].astype(np.int64)
+            byte = data[ragged(off[work], size)]
             begins = np.zeros(len(byte), bool)  # of words
             begins[np.cumsum(size) - size] = True
-            begins[1:] |= ~self.joined[(byte[:-1] << 8) + byte[1:]]
-            word = np.cumsum(begins) - 1
-            start = pa.table({"k": np.arange(len(byte)) + word, "w": word, "tok": self.single[byte]})
-            owner = np.repeat(work, size)[begins]
+            begins[1:] |= ~self.joined[(byte[:-1].astype(np.int64) << 8) + byte[1:]]
             heads = np.flatnonzero(begins)
-            at = 0
-            while at < len(byte):  # whole words, of about ROWS bytes in all
-                to = np.searchsorted(heads, at + ROWS)
-                to = int(heads[to]) if to < len(heads) else len(byte)
-                self.db.register("start", start.slice(at, to - at))
-                got = self.db.sql(self.encode_sql).to_arrow_table()
-                self.db.unregister("start")
-                ids_w.append(owner[got["w"].to_numpy()])
-                ids_t.append(got["tok"].to_numpy())
-                at = to
+            bounds = pa.py_buffer(np.append(heads, len(byte)).astype(np.int64))
+            coded = pa.Array.from_buffers(pa.large_binary(), len(heads), [None, bounds, pa.py_buffer(byte)]).dictionary_encode()
+            tokens, begin, count = self.contract(coded.dictionary)
+            code = np.asarray(coded.indices)
+            ids_w.append(np.repeat(np.repeat(work, size)[heads], count[code]))
+            ids_t.append(tokens[ragged(begin[code], count[code])])
         w, t = np.concatenate(ids_w), np.concatenate(ids_t)
         order = np.argsort(w, kind="stable")
         return t[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(w, minlength=n))])
 
+    def contract(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of distinct words end to end; of every word where they begin and how many there are."""
+        off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        byte = np.frombuffer(words.buffers()[2], np.uint8)[off[0] : off[-1]]
+        size = np.diff(off)
+        word = np.repeat(np.arange(len(words)), size)
+        start = pa.table({"k": np.arange(len(byte)) + word, "w": word, "tok": self.single[byte]})
+        heads, at, got = np.cumsum(size) - size, 0, []
+        while at < len(byte):  # whole words, of about ROWS bytes in all
+            to = np.searchsorted(heads, at + ROWS)
+            to = int(heads[to]) if to < len(heads) else len(byte)
+            self.db.register("start", start.slice(at, to - at))
+            got.append(self.db.sql(self.encode_sql).to_arrow_table())
+            self.db.unregister("start")
+            at = to
+        done = pa.concat_tables(got)
+        count = np.bincount(done["w"].to_numpy(), minlength=len(words))
+        return done["tok"].to_numpy(), np.cumsum(count) - count, count
+
     def decode_words(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
         """The bytes of every id sequence (none may be empty)."""
         size = np.diff(off)
