@@ -64,8 +64,9 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Spark then removes a query's shuffle files as soon as its result is written.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark removes the query's shuffle files as soon as it is there, and the driver keeps short
+#: descriptions of plans only (it makes one anew after each stage, so those of long plans fill its memory).
+WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4096", "spark.sql.ui.explainMode": "simple"}
 
 
 def save(df: DataFrame) -> tuple[DataFrame, str]:
@@ -75,12 +76,14 @@ def save(df: DataFrame) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagewright-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    before = {k: spark.conf.get(k) for k in WHILE_SAVING}
+    for k, v in WHILE_SAVING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
@@ -93,8 +96,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Values of a key with more than this share of the rows (so fewer than 1,000 values) are joined by broadcast.
-HOT_SHARE = 1000
+#: A key with more than this share of the rows (so fewer than 1,000 keys), and with so many rows at least, is joined by broadcast.
+HOT_SHARE, HOT_ROWS = 1000, 1000
 
 
 def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
@@ -102,11 +105,15 @@ def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: s
 
     A key that holds more than a thousandth of all those rows would make one
     task of them.  There are fewer than a thousand such keys whatever the data,
-    so their part of ``table`` is broadcast; the rest is an ordinary join.
-    ``table`` is read three times: give a saved one.  ``n`` is left out.
+    so their part of ``table`` is broadcast; the rest is an ordinary join, as is
+    all where no key is hot.  ``table`` is read up to four times: give a saved
+    one.  ``n`` is left out.
     """
-    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    hot = F.col(n) * HOT_SHARE > total
+    total, most = table.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    least = max(total // HOT_SHARE, HOT_ROWS)
+    if most <= least:
+        return rows.join(table.drop(n).hint("merge"), keys, how)
+    hot = F.col(n) > least
     some = F.broadcast(table.where(hot).drop(n))
     rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti")
     return rows.join(some, keys).unionByName(rest.join(table.where(~hot).drop(n).hint("merge"), keys, how))

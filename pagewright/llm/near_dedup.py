@@ -199,14 +199,16 @@ def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     weight = live.select("set_id", prefix(DEPTH).alias("region")).join(deep, "region").groupBy("set_id").agg(F.sum("size").alias("weight"))
     weighed, weighed_at = save(live.join(weight, "set_id"))
     node = F.struct("set_id", "n", "sketch")
-    found, pivots = [_neighbours(live, REGIONS[0], threshold)], []
+    # Each kind of candidates by itself, so that no plan is long.
+    found = [save(_neighbours(live, REGIONS[0], threshold))]
     for d in REGIONS:
         own = weighed.select(prefix(d).alias("region"), node.alias("x"), "weight")
         pivot, at = save(own.groupBy("region").agg(F.max_by("x", F.struct("weight", F.col("x.set_id"))).alias("y"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-        pivots.append(at)
-        found.append(_agree(skew_join(own, pivot, ["region"], "size").where("x.set_id <> y.set_id"), threshold))
-    out, _ = save(reduce(DataFrame.union, found).groupBy("a", "b").agg(F.max("same").alias("same")))
-    drop(nodes.sparkSession, live_at, weighed_at, *pivots)
+        found.append(save(_agree(skew_join(own, pivot, ["region"], "size").where("x.set_id <> y.set_id"), threshold)))
+        drop(nodes.sparkSession, at)
+    drop(nodes.sparkSession, live_at, weighed_at)
+    out, _ = save(reduce(DataFrame.union, [x[0] for x in found]).groupBy("a", "b").agg(F.max("same").alias("same")))
+    drop(nodes.sparkSession, *[x[1] for x in found])
     return out
 
 
@@ -350,9 +352,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     component_id is the smallest doc_id that links reach, the row's own
     included (null doc_ids only where there is no other); kept where it is the
-    row's own.  Texts without words are linked with nothing.  Rows that repeat a
-    doc_id and text share a set and are both kept or both not.  An empty table
-    gives no rows; further columns are ignored.
+    row's own.  Texts without words, null and empty ones too, are linked with
+    nothing; texts of any length are read whole.  Rows that repeat a doc_id and
+    text share a set and are both kept or both not; which of several candidates
+    is tried first (ties by set) changes no result.  An empty table gives no
+    rows; further columns are ignored, whatever their names.
     """
     threshold = percent / 100
     rows, _ = save(sketches(docs, width))
@@ -388,11 +392,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     node_root = nodes.select("set_id", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     group = F.coalesce("root", "set_id")
     labels = node_root.groupBy(group.alias("group")).agg(F.min("least").alias("component_id"))
-    shared = rows.where("set_id is not null").groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).join(node_root.select("set_id", group.alias("group")), "set_id")
-    of_set, _ = save(shared.join(labels, "group").select("set_id", "component_id", F.lit(True).alias("has"), "n"))
+    of_set, _ = save(node_root.select("set_id", group.alias("group")).join(labels, "group").select("set_id", "component_id", F.lit(True).alias("has")))
     drop(docs.sparkSession, nodes_at)
-    slim = rows.select("doc_id", "n_shingles", "set_id", "text_hash")
-    out = skew_join(slim.where("set_id is not null"), of_set, ["set_id"], "n").unionByName(slim.where("set_id is null"), allowMissingColumns=True)
+    out = rows.select("doc_id", "n_shingles", "set_id", "text_hash").join(of_set, "set_id", "left")
     component = F.when(F.col("has"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 

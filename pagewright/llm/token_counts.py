@@ -265,7 +265,10 @@ def load(path: str) -> PrefixCounter:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text.
 
-    Null text counts as empty (no token); null and repeated doc_ids stay, a row each.
+    Null text counts as empty (no token); null and repeated doc_ids stay, a row
+    each, and equal rows give equal rows.  Texts of any length are counted whole.
+    An empty table gives no rows; further columns are ignored, whatever their
+    names.
     """
     ship(docs.sparkSession)
 
