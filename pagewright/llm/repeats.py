@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import drop, save, ship, skew_join, text_chunks, with_lists
 from pagewright.llm.wordsplit import ragged
 
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 GRAM = 16
 #: Starts in a block of the exact check.
 BLOCK = 10
