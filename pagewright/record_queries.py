@@ -484,22 +484,24 @@ def spans(spark, d) -> DataFrame:
     return docs(spark, d).select("doc_id", lines.alias("lines"))
 
 
-BOX_SUMS = [F.count(F.lit(1)).alias("n"), *[F.sum(f"b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], F.sum(F.length("b.text")).alias("chars")]
+def box_sums(found: DataFrame) -> DataFrame:
+    """Number, edges and characters of each document's boxes, summed."""
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], F.sum(F.length("b.text")).alias("chars"))
+
+
 PIXEL_SQL = f"SELECT doc_id, count(*) AS n, sum({PX.format('x0')})::BIGINT AS x0, sum({PX.format('y0')})::BIGINT AS y0, sum(greatest({PX.format('x1')}, {PX.format('x0')} + 1))::BIGINT AS x1, sum(greatest({PX.format('y1')}, {PX.format('y0')} + 1))::BIGINT AS y1, sum(length(word))::BIGINT AS chars FROM "
 
 
 @query(SPAN_SQL + PIXEL_SQL + "g GROUP BY doc_id")
 def word_boxes(spark, d):
     """D5 by word."""
-    got = spans(spark, d).select("doc_id", F.explode(L.word_boxes(F.flatten("lines"), 144.0)).alias("b"))
-    return got.groupBy("doc_id").agg(*BOX_SUMS)
+    return box_sums(spans(spark, d).select("doc_id", F.explode(L.word_boxes(F.flatten("lines"), 144.0)).alias("b")))
 
 
 @query(SPAN_SQL + ", u AS (SELECT doc_id, i, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(word, ' ' ORDER BY j) AS word FROM g GROUP BY doc_id, i) " + PIXEL_SQL + "u GROUP BY doc_id")
 def line_boxes(spark, d):
     """D5 by line."""
-    got = spans(spark, d).select("doc_id", F.explode(L.line_boxes(F.col("lines"), 144.0)).alias("b"))
-    return got.groupBy("doc_id").agg(*BOX_SUMS)
+    return box_sums(spans(spark, d).select("doc_id", F.explode(L.line_boxes(F.col("lines"), 144.0)).alias("b")))
 
 
 @query(
