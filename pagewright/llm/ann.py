@@ -11,8 +11,14 @@ against brute force over a sample without themselves, reach the wanted recall.
 Vectors without any structure have their neighbours in nearly all leaves, and
 calibration then says so; clustered ones need few.
 
-Leaves are searched in blocks of bounded size, so a leaf with a third of all
-rows is many tasks; each block returns at most k rows for a query.
+Rows and queries meet in tiles of bounded size: a block of rows (neighbouring
+leaves, or a part of a large one) and a slab of the queries that visit a leaf of
+it.  A query travels once to each block it visits, with a bit for each of its
+leaves there, never once to each leaf.  Within a tile a leaf is multiplied with
+the queries that visit it; what comes near a query's floor (its k-th best of
+the sample's rows in leaves it visits, later its k-th best so far) is scored
+exactly.  Of rows with equal vectors in a leaf, a tile scores those that a
+tie can let through.  Each tile returns at most k rows for a query.
 """
 
 from __future__ import annotations
@@ -24,8 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from pagewright.llm.common import drop, save, ship
+from pagewright.llm.wordsplit import ragged
+
+#: More than a product of unit vectors can differ from their cosine by the order of its sums.
+SLACK = 1e-10
+#: Components of a tile's queries, and of its rows, at most; and scores held at once.
+TILE_COMPONENTS, SCORES = 8_000_000, 2_000_000
 
 
 class Tree(NamedTuple):
@@ -101,8 +114,49 @@ def best_bins(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
             out.append(int(tree.leaf[n]))
             continue
         a, b = tree.first[n], tree.first[n] + tree.count[n]
-        for i, s in enumerate(tree.centroids[a:b] @ q):
-            heapq.heappush(queue, (-float(s), int(a + i)))
+        for i, s in enumerate((tree.centroids[a:b] @ -q).tolist(), a):
+            heapq.heappush(queue, (s, i))
+    return out
+
+
+def walk_order(tree: Tree, q: np.ndarray) -> np.ndarray:
+    """For each query all leaves in the order in which a best-bin-first walk reaches them.
+
+    Of two leaves the walk reaches the one first whose worst node below their
+    last common branch is the better one.  The common part of the two paths
+    lowers both alike, so paths compare by their minima from the first node on,
+    then from the second, and so on.
+    """
+    n = len(tree.first)
+    parent = np.full(n, -1)
+    inner = np.flatnonzero(tree.count)
+    parent[1:] = np.repeat(inner, tree.count[inner])[np.argsort(ragged(tree.first[inner], tree.count[inner]))]
+    node = np.empty(int(tree.leaf.max()) + 1, np.int64)
+    node[tree.leaf[tree.count == 0]] = np.flatnonzero(tree.count == 0)
+    paths = [node]
+    while (paths[-1] > 0).any():
+        paths.append(np.where(paths[-1] > 0, parent[paths[-1]], 0))
+    steps = np.array(paths)
+    depth = (steps > 0).sum(0)
+    scores = q @ tree.centroids.T
+    scores[:, 0] = np.inf
+    low, keys = np.full((len(q), len(node)), np.inf), []
+    for level in range(int(depth.max()), 0, -1):
+        at = steps[np.maximum(depth - level, 0), np.arange(len(node))]
+        low = np.minimum(low, np.where(depth >= level, scores[:, at], np.inf))
+        keys.append(-low)
+    return np.lexsort(keys, axis=-1) if keys else np.zeros((len(q), 1), np.int64)
+
+
+def visited_leaves(tree: Tree, q: np.ndarray, visits: int) -> np.ndarray:
+    """Whether each query's walk of ``visits`` leaves reaches each leaf; single walks where they are short."""
+    leaves = int(tree.leaf.max()) + 1
+    out = np.full((len(q), leaves), visits >= leaves)
+    if 20 * visits < leaves:
+        for row, x in zip(out, q, strict=True):
+            row[best_bins(tree, x, visits)] = True
+    elif visits < leaves:
+        np.put_along_axis(out, walk_order(tree, q)[:, :visits], True, axis=1)
     return out
 
 
@@ -117,8 +171,10 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, queries: in
     # The place at which each query's walk comes to each of its neighbours' leaves.
     place = np.empty(most, np.int64)
     need = []
-    for q, t in zip(probe, top, strict=True):
-        place[best_bins(tree, q, most)] = np.arange(most)
+    step = max(1, SCORES // most)
+    walks = (w for i in range(0, len(probe), step) for w in walk_order(tree, probe[i : i + step]))
+    for walk, t in zip(walks, top, strict=True):
+        place[walk] = np.arange(most)
         need.append(place[leaves[t]])
     need = np.concatenate(need) if need else np.zeros(0)
     visits = 1
@@ -154,6 +210,7 @@ def deepen(rows: DataFrame, top: Tree, branch: int, leaves: int, sample_rows: in
     """Fit the leaves of ``top`` further, each on about ``sample_rows`` of its rows, towards ``leaves`` leaves in all."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(top)
+    kind = rows.schema["v"].dataType.simpleString()
 
     def place(batches):
         for b in batches:
@@ -161,7 +218,7 @@ def deepen(rows: DataFrame, top: Tree, branch: int, leaves: int, sample_rows: in
                 x = unit(_matrix(b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(assign(sent.value, x).astype(np.int32))], names=["vec_id", "v", "leaf"])
 
-    placed, placed_at = save(rows.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<double>, leaf int"))
+    placed, placed_at = save(rows.select("vec_id", "v").mapInArrow(place, f"vec_id long, v {kind}, leaf int"))
     sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each leaf of a tree fitted on a bounded sample
     total = sum(sizes.values())
     wanted = {leaf: max(1, round(leaves * n / total)) for leaf, n in sizes.items()}
@@ -188,25 +245,119 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & fine & F.exists(vec, lambda v: v != 0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _given(column: pa.Array) -> np.ndarray:
+    """The vectors as they are stored, a row each."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return _given(column).astype(np.float64)
 
 
-def _top(queries: np.ndarray, qid: np.ndarray, rows: np.ndarray, vid: np.ndarray, k: int):
-    """For each query its k best rows of a block: exact cosine in double precision, ties to the smaller id, itself left out."""
-    qn, rn = np.sqrt((queries * queries).sum(1)), np.sqrt((rows * rows).sum(1))
-    for i in range(len(queries)):
-        near = (rows * queries[i]).sum(1) / (rn * qn[i])
-        near[vid == qid[i]] = -np.inf
-        if len(near) > 4 * k:
-            cut = np.partition(near, len(near) - k)[len(near) - k]
-            pick = np.flatnonzero(near >= cut)
-        else:
-            pick = np.arange(len(near))
-        pick = pick[np.lexsort((vid[pick], -near[pick]))][:k]
-        pick = pick[near[pick] > -np.inf]
-        yield np.full(len(pick), qid[i]), vid[pick], near[pick]
+class Layout(NamedTuple):
+    """Leaves from lo to hi (exclusive) of each group of blocks, its first block, and in how many blocks its rows are dealt."""
+
+    lo: np.ndarray
+    hi: np.ndarray
+    first: np.ndarray
+    pieces: np.ndarray
+
+
+def lay_out(sizes: np.ndarray, block_rows: int) -> Layout:
+    """Blocks of about ``block_rows`` rows: neighbouring small leaves together, a large leaf dealt over several."""
+    lo, pieces, held = [], [], 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if n > block_rows or held + n > block_rows or not lo:
+            lo.append(leaf)
+            pieces.append(max(1, -(-n // block_rows)))
+            held = 0
+        held = block_rows if n > block_rows else held + n
+    pieces = np.array(pieces)
+    return Layout(np.array(lo), np.array([*lo[1:], len(sizes)]), np.cumsum(pieces) - pieces, pieces)
+
+
+def floors(q: np.ndarray, qid: np.ndarray, visited: np.ndarray, sample: np.ndarray, ids: np.ndarray, leaf: np.ndarray, k: int) -> np.ndarray:
+    """For each query (unit vectors) a score that its k-th best row in the leaves it visits has at least."""
+    if len(sample) < k:
+        return np.full(len(q), -np.inf)
+    scores = np.where(visited[:, leaf] & (ids != qid[:, None]), q @ sample.T, -np.inf)
+    return np.partition(scores, len(sample) - k, axis=1)[:, len(sample) - k] - SLACK
+
+
+def few_copies(x: np.ndarray, vid: np.ndarray, leaf: np.ndarray, k: int) -> np.ndarray:
+    """The rows without those of equal vectors in a leaf that come too late in a tie for any query: k rows of k + 1 ids stay."""
+    same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    at = np.arange(len(x))
+    if same.max(initial=-1) + 1 == len(x):
+        return at
+    same = same * (int(leaf.max()) + 1) + leaf
+    order = np.lexsort((vid, same))
+    new = np.concatenate([[True], np.diff(same[order]) != 0])
+    new_id = new | np.concatenate([[True], np.diff(vid[order]) != 0])
+    of_id = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    nth = np.cumsum(new_id)
+    nth -= nth[np.maximum.accumulate(np.where(new, at, 0))]
+    return np.sort(order[(of_id < k) & (nth <= k)])
+
+
+def search_tile(q: np.ndarray, qid: np.ndarray, visited: np.ndarray, floor: np.ndarray, x: np.ndarray, vid: np.ndarray, leaf: np.ndarray, k: int):
+    """For some queries at a time: ids, row ids and scores of at most k best rows each, of the leaves that a query visits.
+
+    Exact cosine in double precision, ties to the smaller id, a query's own id
+    left out.  q are doubles, x as stored; qid is sorted, an id once.
+    """
+    keep = few_copies(x, vid, leaf, k)
+    keep = keep[np.argsort(leaf[keep], kind="stable")]
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(leaf[keep]) != 0, [True]]))
+    rows_at_once, dim = 1024, x.shape[1]
+    step = SCORES // rows_at_once
+    pairs = max(1, SCORES // dim)
+    for i in range(0, len(q), step):
+        ids, own_q, sees, least = qid[i : i + step], q[i : i + step], visited[i : i + step], floor[i : i + step].copy()
+        norm = np.sqrt((own_q * own_q).sum(1))
+        units = own_q / norm[:, None]
+        top, top_id = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            who = np.flatnonzero(sees[:, leaf[keep[begin]]])
+            if not len(who):
+                continue
+            asking = units[who]
+            for a in range(begin, end, rows_at_once):
+                at = keep[a : min(end, a + rows_at_once)]
+                rows, row_id = x[at].astype(np.float64), vid[at]
+                row_norm = np.sqrt((rows * rows).sum(1))
+                scores = asking @ (rows / row_norm[:, None]).T
+                # A query is not its own neighbour.
+                place = np.minimum(np.searchsorted(ids[who], row_id), len(who) - 1)
+                itself = np.flatnonzero(ids[who[place]] == row_id)
+                scores[place[itself], itself] = -np.inf
+                near = np.flatnonzero(scores >= least[who][:, None])
+                if len(near) > 4 * k * len(who) and len(at) > k:
+                    best = np.partition(scores, len(at) - k, axis=1)[:, len(at) - k]
+                    near = np.flatnonzero(scores >= np.maximum(least[who], best - SLACK)[:, None])
+                asks, row = who[near // len(at)], near % len(at)
+                real = scores.ravel()[near] > -np.inf
+                asks, row = asks[real], row[real]
+                if not len(asks):
+                    continue
+                exact = np.empty(len(asks))
+                for j in range(0, len(asks), pairs):
+                    o, r = asks[j : j + pairs], row[j : j + pairs]
+                    exact[j : j + pairs] = (rows[r] * own_q[o]).sum(1) / (row_norm[r] * norm[o])
+                # The best so far and the new ones, in order; k of each query stay.
+                some = np.unique(asks)
+                whose = np.concatenate([np.repeat(some, k), asks])
+                score = np.concatenate([top[some].ravel(), exact])
+                whom = np.concatenate([top_id[some].ravel(), row_id[row]])
+                order = np.lexsort((whom, -score, whose))
+                whose, score, whom = whose[order], score[order], whom[order]
+                rank = np.arange(len(whose)) - np.searchsorted(whose, whose)
+                good = rank < k
+                top[whose[good], rank[good]], top_id[whose[good], rank[good]] = score[good], whom[good]
+                least[some] = np.maximum(least[some], top[some, k - 1] - SLACK)
+        found = np.flatnonzero(top.ravel() > -np.inf)
+        yield ids[found // k], top_id.ravel()[found], top.ravel()[found]
 
 
 def build(rows: DataFrame, picked: np.ndarray, total: int, k: int, branch: int, leaf_rows: int, recall: float, sample_rows: int) -> tuple[Tree, int]:
@@ -230,7 +381,7 @@ def search(
     branch: int = 12,
     leaf_rows: int = 500,
     recall: float = 0.95,
-    block_rows: int = 4096,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The k nearest rows by cosine of every row for which ``queries`` holds: query_id, rank, vec_id, score.
 
@@ -238,6 +389,8 @@ def search(
     visits are fitted on (fewer where vectors are long: 4,000,000 components at
     most); leaves hold about leaf_rows rows, as long as all centroids have
     8,000,000 components at most.  recall is what the visits are calibrated to.
+    block_rows bounds the rows of a tile (by default a few tiles for each core,
+    of 8,000,000 components at most).
     Every usable row is indexed; fewer than k candidates give all.  Vectors that
     are null, zero, or hold null or non-finite components take no part, nor do
     rows with a null id, nor vectors of another length than the first one's.
@@ -247,20 +400,26 @@ def search(
     """
     spark = table.sparkSession
     ship(spark)
-    rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    given = table.select(F.col(vec).alias("v")).schema["v"].dataType
+    kind = "array<float>" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "array<double>"
+    every = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast(kind).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+    fine = F.col("vec_id").isNotNull() & usable(F.col("v"))
+    rows = every.where(fine)
     schema = "query_id long, rank int, vec_id long, score double"
-    stats = rows.agg(F.count(F.lit(1)), F.min_by(F.size("v"), "vec_id")).first()
+    stats = rows.agg(F.count(F.lit(1)), F.min_by(F.size("v"), "vec_id"), F.count_if("is_query")).first()
     if not stats[0]:
         return spark.createDataFrame([], schema)
-    total, dim = stats
-    rows = rows.where(F.size("v") == dim)
+    total, dim, n_queries = stats
+    fits = F.size("v") == dim
+    rows = rows.where(fits)
     sample_rows = max(1, min(sample_rows, 4_000_000 // max(1, dim)))
     share = min(1.0, sample_rows / total)
     draw = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))
     # Bounded: about sample_rows vectors; twice that cannot be passed.
-    picked = np.array([r["v"] for r in rows.where(draw).select("v").limit(2 * sample_rows).toLocalIterator()] or [r["v"] for r in rows.select("v").limit(1).collect()])
-    picked = unit(picked)
+    drawn = [(r["vec_id"], r["v"]) for r in every.where(draw).where(fine & fits).select("vec_id", "v").limit(2 * sample_rows).toLocalIterator()]
+    drawn = drawn or [(r["vec_id"], r["v"]) for r in rows.select("vec_id", "v").limit(1).collect()]
+    picked_id, picked = np.array([r[0] for r in drawn], np.int64), unit(np.array([r[1] for r in drawn], np.float64))
+    del drawn
     tree, visits = build(rows, picked, total, k, branch, leaf_rows, recall, sample_rows)
     sent = spark.sparkContext.broadcast(tree)
 
@@ -270,35 +429,64 @@ def search(
                 leaf = assign(sent.value, unit(_matrix(b.column(1))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf.astype(np.int32))], names=["vec_id", "v", "is_query", "leaf"])
 
-    placed, _ = save(rows.mapInArrow(index, "vec_id long, v array<double>, is_query boolean, leaf int"))
-    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    blocks = sizes.select("leaf", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    # The number of leaves is bounded by the sample, so this is small.
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    data = placed.join(F.broadcast(blocks), "leaf").select("leaf", block.alias("block"), "vec_id", "v")
+    placed, _ = save(rows.mapInArrow(index, f"vec_id long, v {kind}, is_query boolean, leaf int"))
+    # The number of leaves is bounded by MOST_COMPONENTS, so this is small.
+    leaves = int(tree.leaf.max()) + 1
+    sizes = np.zeros(leaves, np.int64)
+    for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["leaf"]] = r["n"]
+    cores = spark.sparkContext.defaultParallelism
+    most = max(1, TILE_COMPONENTS // dim)
+    layout = lay_out(sizes, block_rows or min(most, max(256, total // (4 * cores))))
+    slabs = max(1, -(-n_queries // most))
+    group = np.repeat(np.arange(len(layout.lo)), layout.hi - layout.lo)
+    table_of = list(zip(range(leaves), layout.first[group].tolist(), layout.pieces[group].tolist(), layout.lo[group].tolist(), strict=True))
+    blocks = spark.createDataFrame(table_of, "leaf int, first int, pieces int, lo int")
+    block = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))).cast("int")
+    data = placed.join(F.broadcast(blocks), "leaf").select(block.alias("block"), "vec_id", "v", (F.col("leaf") - F.col("lo")).alias("leaf"))
+    data = data.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))) if slabs > 1 else F.lit(0))
+    known = spark.sparkContext.broadcast((picked, picked_id, assign(tree, picked), layout))
+    at_once = max(1, SCORES // max(leaves, len(picked)))
 
     def route(batches):
+        tree, (sample, sample_id, sample_leaf, lay) = sent.value, known.value
+        wide = max(1, SCORES // dim)
         for b in batches:
-            if not b.num_rows:
-                continue
-            bins = [best_bins(sent.value, q, visits) for q in unit(_matrix(b.column(1)))]
-            at = np.repeat(np.arange(b.num_rows), [len(x) for x in bins])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(bins).astype(np.int32))], names=["vec_id", "v", "leaf"]
-            )
-
-    asked = placed.where("is_query").groupBy("vec_id").agg(F.min("v").alias("v")).repartition(spark.sparkContext.defaultParallelism).mapInArrow(route, "vec_id long, v array<double>, leaf int")
-    asked = asked.join(F.broadcast(blocks), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
+            for i in range(0, b.num_rows, at_once):
+                part = b.slice(i, at_once)
+                q, qid = unit(_matrix(part.column(1))), part.column(0).to_numpy()
+                visited = visited_leaves(tree, q, visits)
+                floor = floors(q, qid, visited, sample, sample_id, sample_leaf, k)
+                goes = np.logical_or.reduceat(visited, lay.lo, axis=1)
+                at, to, bits = [], [], []
+                for g in range(len(lay.lo)):
+                    who = np.flatnonzero(goes[:, g])
+                    packed = [x.tobytes() for x in np.packbits(visited[who, lay.lo[g] : lay.hi[g]], axis=1)]
+                    at += [who] * int(lay.pieces[g])
+                    to.append(np.repeat(np.arange(lay.first[g], lay.first[g] + lay.pieces[g]), len(who)))
+                    bits += packed * int(lay.pieces[g])
+                at, to = np.concatenate(at), np.concatenate(to).astype(np.int32)
+                for j in range(0, len(at), wide):
+                    take = pa.array(at[j : j + wide])
+                    cols = [part.column(0).take(take), part.column(1).take(take), pa.array(to[j : j + wide]), pa.array(bits[j : j + wide], pa.binary()), pa.array(floor[at[j : j + wide]])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "v", "block", "visited", "floor"])
+
+    asked = placed.where("is_query").groupBy("vec_id").agg(F.min("v").alias("v")).repartition(max(cores, n_queries // 4096))
+    asked = asked.mapInArrow(route, f"vec_id long, v {kind}, block int, visited binary, floor double")
+    asked = asked.withColumn("slab", F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(slabs)).cast("int"))
 
     def find(q: pa.Table, d: pa.Table) -> pa.Table:
         parts = []
         if q.num_rows and d.num_rows:
-            parts = list(_top(_matrix(q.column("v")), q.column("vec_id").to_numpy(), _matrix(d.column("v")), d.column("vec_id").to_numpy(), k))
+            q = q.sort_by("vec_id")
+            bits = np.frombuffer(b"".join(q.column("visited").to_pylist()), np.uint8).reshape(q.num_rows, -1)
+            asks = (_matrix(q.column("v")), q.column("vec_id").to_numpy(), np.unpackbits(bits, axis=1).view(bool), q.column("floor").to_numpy())
+            parts = list(search_tile(*asks, _given(d.column("v")), d.column("vec_id").to_numpy(), d.column("leaf").to_numpy(), k))
         cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    near = asked.groupBy("leaf", "block").cogroup(data.groupBy("leaf", "block")).applyInArrow(find, "query_id long, vec_id long, score double")
-    # At most k rows a block for each query; only the best k of a query go on.
+    near = asked.groupBy("block", "slab").cogroup(data.groupBy("block", "slab")).applyInArrow(find, "query_id long, vec_id long, score double")
+    # At most k rows a tile for each query; only the best k of a query go on.
     best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))))
     top = near.groupBy("query_id").agg(F.slice(best, 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("p", "t")).select(

@@ -167,6 +167,79 @@ def test_calibration_does_not_count_the_query_itself():
     assert np.mean(hits) >= 0.95 and visits < leaves
 
 
+def test_queries_travel_once_to_a_block_not_to_each_leaf(spark):
+    x = np.random.default_rng(4).normal(size=(4000, 24))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = ann.search(table, F.col("vec_id") % 50 == 0, leaf_rows=20)
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(list(enumerate(x)))
+    assert set(got) == set(want) and sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * 5 * len(want)
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    last = store.executionsList().last()
+    values, nodes, sent = store.executionMetrics(last.executionId()), store.planGraph(last.executionId()).allNodes(), []
+    for node in (nodes.apply(i) for i in range(nodes.size())):
+        if node.name() == "MapInArrow":
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+            sent += [values.get(m.accumulatorId()).get() for m in metrics if m.name() == "number of output rows"]
+    # 80 queries; 200 leaves, of which unstructured vectors visit more than half; 16 blocks and a few for leaves that fill one badly.
+    assert len(sent) == 1 and 80 <= int(sent[0].replace(",", "")) <= 80 * 24
+
+
+def test_both_ways_of_walking_agree():
+    for x in (np.random.default_rng(1).normal(size=(3000, 32)), clusters(3000), np.ones((5, 3))):
+        x = ann.unit(x)
+        tree = ann.fit(x, 12, 10)
+        leaves = int(tree.leaf.max()) + 1
+        order = ann.walk_order(tree, x[:40])
+        assert [ann.best_bins(tree, q, leaves) for q in x[:40]] == order.tolist()
+        for visits in {1, leaves // 2, leaves} - {0}:
+            seen = ann.visited_leaves(tree, x[:40], visits)
+            assert (seen.sum(1) == visits).all() and all(row[o[:visits]].all() for row, o in zip(seen, order, strict=True))
+
+
+def test_blocks_hold_whole_leaves_or_parts_of_one():
+    lay = ann.lay_out(np.array([3, 0, 4, 25, 2, 9, 1, 10, 0]), 10)
+    assert lay.lo.tolist() == [0, 3, 4, 5, 7] and lay.hi.tolist() == [3, 4, 5, 7, 9]
+    assert lay.pieces.tolist() == [1, 3, 1, 1, 1] and lay.first.tolist() == [0, 1, 4, 5, 6]
+    assert ann.lay_out(np.array([0]), 5).hi.tolist() == [1]
+
+
+def test_a_tile_with_many_copies_and_repeated_ids():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 8)).astype(np.float32)
+    x = np.concatenate([x, np.repeat(x[:1], 3000, axis=0), x[:4], x[:4]])
+    vid = np.concatenate([rng.permutation(500), rng.integers(500, 2000, 3000), [7, 7, 8, 9], [7, 600, 8, 1]])
+    leaf = rng.integers(0, 9, len(x))
+    qid = np.unique(vid[rng.integers(0, len(vid), 1500)])
+    q = x[[np.flatnonzero(vid == i)[0] for i in qid]].astype(np.float64)
+    sees = rng.random((len(qid), 16)) < 0.7
+    parts = list(ann.search_tile(q, qid, sees, np.full(len(qid), -np.inf), x, vid, leaf, 5))
+    got: dict = {}
+    for i, j, s in zip(*(np.concatenate(c) for c in zip(*parts, strict=True)), strict=True):
+        got.setdefault(i, []).append((-s, j))
+    rows = x.astype(np.float64)
+    norm = np.sqrt((rows * rows).sum(1))
+    for n, i in enumerate(qid):
+        s = (rows * q[n]).sum(1) / (norm * np.sqrt((q[n] * q[n]).sum()))
+        ok = np.flatnonzero(sees[n, leaf] & (vid != i))
+        best = sorted(zip((-s[ok]).tolist(), vid[ok].tolist(), strict=True))[:5]
+        assert [(round(a, 12), b) for a, b in got[i]] == [(round(a, 12), b) for a, b in best], i
+
+
+def test_floors_never_hide_a_neighbour():
+    x = ann.unit(np.random.default_rng(7).normal(size=(400, 8)))
+    ids, leaf = np.arange(400), np.arange(400) % 8
+    sees = np.random.default_rng(8).random((400, 8)) < 0.5
+    got = ann.floors(x, ids, sees, x, ids, leaf, 5)
+    for i in range(400):
+        s = np.sort((x @ x[i])[sees[i, leaf] & (ids != i)])
+        assert got[i] <= s[-5] <= got[i] + 1e-8 if len(s) >= 5 else got[i] == -np.inf
+    assert (ann.floors(x, ids, sees, x[:4], ids[:4], leaf[:4], 5) == -np.inf).all()
+
+
 def test_a_language_whose_words_never_repeat_is_learned(docs):
     rows = [(i, f"kalo{i} mite{i}", "aa") for i in range(30)] + [(100 + i, f"schupf{i} lingt{i}", "bb") for i in range(30)]
     table = docs(rows).selectExpr("*", "'x' AS lang_pred")
