@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from pagewright.llm.common import drop, save, ship
 from pagewright.llm.wordsplit import ragged
 
-#: More than a product of unit vectors can differ from their cosine by the order of its sums.
+#: More than a product of unit vectors in double precision can differ from their cosine.
 SLACK = 1e-10
 #: Components of a tile's queries, and of its rows, at most; and scores held at once.
 TILE_COMPONENTS, SCORES = 8_000_000, 2_000_000
@@ -119,16 +119,15 @@ def best_bins(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
     return out
 
 
-def walk_order(tree: Tree, q: np.ndarray) -> np.ndarray:
-    """For each query all leaves in the order in which a best-bin-first walk reaches them.
+def path_minima(tree: Tree, q: np.ndarray) -> list[np.ndarray]:
+    """For each query and leaf the least score on the leaf's path, from its last node on, ..., from its first node on.
 
-    Of two leaves the walk reaches the one first whose worst node below their
-    last common branch is the better one.  The common part of the two paths
-    lowers both alike, so paths compare by their minima from the first node on,
-    then from the second, and so on.
+    Of two leaves a best-bin-first walk reaches the one first whose worst node
+    below their last common branch is the better one.  The common part of the two
+    paths lowers both alike, so paths compare by their minima from the first node
+    on, then from the second, and so on.
     """
-    n = len(tree.first)
-    parent = np.full(n, -1)
+    parent = np.full(len(tree.first), -1)
     inner = np.flatnonzero(tree.count)
     parent[1:] = np.repeat(inner, tree.count[inner])[np.argsort(ragged(tree.first[inner], tree.count[inner]))]
     node = np.empty(int(tree.leaf.max()) + 1, np.int64)
@@ -139,13 +138,18 @@ def walk_order(tree: Tree, q: np.ndarray) -> np.ndarray:
     steps = np.array(paths)
     depth = (steps > 0).sum(0)
     scores = q @ tree.centroids.T
-    scores[:, 0] = np.inf
-    low, keys = np.full((len(q), len(node)), np.inf), []
+    scores[:, 0] = np.inf  # the root, which stands for what a shorter path lacks
+    low, out = np.full((len(q), len(node)), np.inf), []
     for level in range(int(depth.max()), 0, -1):
-        at = steps[np.maximum(depth - level, 0), np.arange(len(node))]
-        low = np.minimum(low, np.where(depth >= level, scores[:, at], np.inf))
-        keys.append(-low)
-    return np.lexsort(keys, axis=-1) if keys else np.zeros((len(q), 1), np.int64)
+        at = np.where(depth >= level, steps[np.maximum(depth - level, 0), np.arange(len(node))], 0)
+        low = np.minimum(low, scores[:, at])
+        out.append(low)
+    return out or [low]
+
+
+def walk_order(tree: Tree, q: np.ndarray) -> np.ndarray:
+    """For each query all leaves in the order in which a best-bin-first walk reaches them."""
+    return np.lexsort([-low for low in path_minima(tree, q)], axis=-1)
 
 
 def visited_leaves(tree: Tree, q: np.ndarray, visits: int) -> np.ndarray:
@@ -156,7 +160,14 @@ def visited_leaves(tree: Tree, q: np.ndarray, visits: int) -> np.ndarray:
         for row, x in zip(out, q, strict=True):
             row[best_bins(tree, x, visits)] = True
     elif visits < leaves:
-        np.put_along_axis(out, walk_order(tree, q)[:, :visits], True, axis=1)
+        # Only leaves with the same least score as the last one need more than that.
+        lows = path_minima(tree, q)
+        last = np.partition(lows[-1], leaves - visits, axis=1)[:, leaves - visits]
+        out = lows[-1] > last[:, None]
+        open_ = lows[-1] == last[:, None]
+        for i, need in enumerate((visits - out.sum(1)).tolist()):
+            tied = np.flatnonzero(open_[i])
+            out[i, tied[np.lexsort([-low[i, tied] for low in lows])[:need]]] = True
     return out
 
 
@@ -305,36 +316,43 @@ def search_tile(q: np.ndarray, qid: np.ndarray, visited: np.ndarray, floor: np.n
     """For some queries at a time: ids, row ids and scores of at most k best rows each, of the leaves that a query visits.
 
     Exact cosine in double precision, ties to the smaller id, a query's own id
-    left out.  q are doubles, x as stored; qid is sorted, an id once.
+    left out.  q are doubles, x as stored; qid is sorted, an id once.  Products in
+    single precision, which err by (components + 2) / 2**24 at most, tell which
+    pairs are scored exactly; where those are many, products in double precision.
     """
     keep = few_copies(x, vid, leaf, k)
     keep = keep[np.argsort(leaf[keep], kind="stable")]
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(leaf[keep]) != 0, [True]]))
     rows_at_once, dim = 1024, x.shape[1]
+    slack = (dim + 8) / 2**23
     step = SCORES // rows_at_once
     pairs = max(1, SCORES // dim)
     for i in range(0, len(q), step):
         ids, own_q, sees, least = qid[i : i + step], q[i : i + step], visited[i : i + step], floor[i : i + step].copy()
         norm = np.sqrt((own_q * own_q).sum(1))
         units = own_q / norm[:, None]
+        short = units.astype(np.float32)
         top, top_id = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
         for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             who = np.flatnonzero(sees[:, leaf[keep[begin]]])
             if not len(who):
                 continue
-            asking = units[who]
+            asking = short[who]
             for a in range(begin, end, rows_at_once):
                 at = keep[a : min(end, a + rows_at_once)]
                 rows, row_id = x[at].astype(np.float64), vid[at]
                 row_norm = np.sqrt((rows * rows).sum(1))
-                scores = asking @ (rows / row_norm[:, None]).T
+                row_units = rows / row_norm[:, None]
                 # A query is not its own neighbour.
                 place = np.minimum(np.searchsorted(ids[who], row_id), len(who) - 1)
                 itself = np.flatnonzero(ids[who[place]] == row_id)
+                scores = asking @ row_units.astype(np.float32).T
                 scores[place[itself], itself] = -np.inf
-                near = np.flatnonzero(scores >= least[who][:, None])
-                if len(near) > 4 * k * len(who) and len(at) > k:
-                    best = np.partition(scores, len(at) - k, axis=1)[:, len(at) - k]
+                near = np.flatnonzero(scores >= (least[who] - slack).astype(np.float32)[:, None])
+                if len(near) > 4 * k * len(who):
+                    scores = units[who] @ row_units.T
+                    scores[place[itself], itself] = -np.inf
+                    best = np.partition(scores, max(0, len(at) - k), axis=1)[:, max(0, len(at) - k)]
                     near = np.flatnonzero(scores >= np.maximum(least[who], best - SLACK)[:, None])
                 asks, row = who[near // len(at)], near % len(at)
                 real = scores.ravel()[near] > -np.inf

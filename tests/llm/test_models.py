@@ -229,6 +229,21 @@ def test_a_tile_with_many_copies_and_repeated_ids():
         assert [(round(a, 12), b) for a, b in got[i]] == [(round(a, 12), b) for a, b in best], i
 
 
+def test_a_tile_tells_vectors_apart_that_single_precision_does_not():
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=8) + 1e-6 * rng.normal(size=(1500, 8)), rng.normal(size=(300, 8))])
+    ids, sees, none = np.arange(len(x)), np.ones((len(x), 8), bool), np.full(len(x), -np.inf)
+    norm = np.sqrt((x * x).sum(1))
+    parts = list(ann.search_tile(x, ids, sees, none, x, ids, ids % 3, 5))
+    got: dict = {}
+    for i, j, s in zip(*(np.concatenate(c) for c in zip(*parts, strict=True)), strict=True):
+        got.setdefault(i, []).append((-s, j))
+    for i in range(0, len(x), 7):
+        s = (x * x[i]).sum(1) / (norm * norm[i])
+        s[i] = -np.inf
+        assert got[i] == sorted(zip((-s).tolist(), ids.tolist(), strict=True))[:5]
+
+
 def test_floors_never_hide_a_neighbour():
     x = ann.unit(np.random.default_rng(7).normal(size=(400, 8)))
     ids, leaf = np.arange(400), np.arange(400) % 8
