@@ -173,6 +173,7 @@ def visited_leaves(tree: Tree, q: np.ndarray, visits: int) -> np.ndarray:
 
 def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
     """The least number of leaf visits (widened by half each time) with the wanted recall on the sample."""
+    sample = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])]  # copies find each other in any leaf, whatever the others need
     at = np.arange(0, len(sample), max(1, len(sample) // queries))
     probe, leaves = sample[at], assign(tree, sample)
     scores = probe @ sample.T

@@ -167,6 +167,13 @@ def test_calibration_does_not_count_the_query_itself():
     assert np.mean(hits) >= 0.95 and visits < leaves
 
 
+def test_copies_do_not_flatter_the_calibration():
+    x = ann.unit(np.random.default_rng(5).normal(size=(1500, 32)))
+    tree = ann.fit(x, 12, 20)
+    visits = ann.calibrate(tree, x, 5, 0.95)
+    assert 1 < visits == ann.calibrate(tree, np.concatenate([x, np.repeat(x[:1], 1500, axis=0)]), 5, 0.95)
+
+
 def test_queries_travel_once_to_a_block_not_to_each_leaf(spark):
     x = np.random.default_rng(4).normal(size=(4000, 24))
     table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
