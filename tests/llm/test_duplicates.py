@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -166,6 +167,33 @@ def test_repeats_against_brute_force(docs, length):
     assert got == want
 
 
+def test_anchors_by_spans(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(0, 3, int(n), np.uint8)) for n in (5000, 0, 399, 400, 131_073, 401)] + [b"a" * 70_000, b"ab"]
+    window, _ = repeats.shape(400)
+    whole = repeats.Bytes(texts)
+    want = [(a, b, int(repeats.least_grams(whole.data, len(whole.data), window)[a])) for a, b in zip(whole.begin, whole.begin[1:], strict=False) if b - a >= 400]
+    assert want
+    got = []
+    for span in (1 << 22, 1 << 16, 1000, 97):
+        monkeypatch.setattr(repeats, "SPAN", span)
+        f = repeats.Anchors(texts, 400)
+        assert [int(f.pos[f.doc == d][0]) for d in np.unique(f.doc)] == [x[2] for x in want]
+        got.append([x.tolist() for x in (f.pos, f.doc, f.start, f.end, f.to, f.key, f.phrases(), f.bytes.hash(whole.begin[:-1], whole.begin[1:], 0, 1))])
+    assert got[1:] == got[:1] * 3
+
+
+def test_anchors_take_little_memory():
+    texts = [bytes(np.random.default_rng(4).integers(97, 123, 250_000, np.uint8)) for _ in range(4)]
+    repeats.Anchors(texts, 200)  # the tables that stay
+    tracemalloc.start()
+    f = repeats.Anchors(texts, 200)
+    f.phrases()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40_000_000, most
+
+
 def test_repeats_edges(docs):
     assert repeats.cut_repeats(docs([])).count() == 0
     long = prose(random.Random(1), 200)

@@ -1,4 +1,6 @@
+import pickle
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -35,6 +37,26 @@ def test_backoff_prefers_words_then_longer_parts():
     assert s.word("word").argmax() == 0 and s.word("worx").argmax() == 1
 
 
+def test_language_model_takes_little_memory():
+    rng = np.random.default_rng(1)
+    words = {f"word{i}": rng.random(4).astype(np.float32) for i in range(20_000)}
+    model = langid.Model(list("abcd"), words, {x[:k]: v for x, v in words.items() for k in (1, 2, 3)}, 3, -16.0)
+    plain, small = langid.Scorer(model), langid.Scorer(langid.packed(model))
+    texts = ["word7 unseen wor", "", "x word19999"]
+    for a, b in zip(plain.texts(texts), small.texts(texts), strict=True):
+        assert list(a) == list(b)
+
+    def taken(make):
+        tracemalloc.start()
+        kept = pickle.loads(pickle.dumps(make))
+        size = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        return size, kept
+
+    assert taken(langid.packed(model))[0] < 0.7 * taken(model)[0]
+    assert langid.packed(langid.Model([], {}, {}, 5, -1.0)).words.get("x") is None
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/x'>m</a></li></ul></nav>"
     "<div class='ad'>buy</div>{body}<footer>&copy; f</footer></body></html>"
