@@ -1,22 +1,27 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries.
 
 In each task the distinct pieces of a batch become token-position rows.  A
-recursive query joins neighbours to the merge table, contracts every word's pairs
-of least rank from the left, and goes on until no pair merges; an ordered
-aggregation of token bytes decodes.
-
-All places of a word's least rank are contracted in one step, those that overlap
-in turn.  That equals one by one: a merge makes token r out of a pair of rank r,
-and no pair with r in it has a lower rank: else r and its neighbour together are a
-token of lower rank, which their bytes, met by no merge from outside, would have
-become before.  That takes a file in which every token is made of its own bytes
-by merges of lower rank; those with a part of higher rank are tried when the file
-is read, and a file that does otherwise gets one place a step.
+recursive query joins neighbours to the merge table, contracts pairs, and goes on
+until no pair merges; an ordered aggregation of token bytes decodes.
+
+A step contracts a pair whose rank is below that of every token with the two bytes
+at the pair's left edge, or those at its right edge, side by side.  No merge can
+cross these edges while the pair is there, so it is contracted in any order of
+merges, and nothing but its own edges depends on when; that holds for every file.
+A word without such a pair has all places of its least rank contracted, those that
+overlap in turn.  That equals one by one: a merge makes token r out of a pair of
+rank r, and no pair with r in it has a lower rank: else r and its neighbour
+together are a token of lower rank, which their bytes, met by no merge from
+outside, would have become before.  That takes a file in which every token is made
+of its own bytes by merges of lower rank; those with a part of higher rank are
+tried when the file is read, and a file that does otherwise gets one place a step.
 
 Pieces are cut into words where no token of the vocabulary holds the two bytes
-side by side: no merge ever crosses such a place.  The recursion is keyed by
-position and holds its last state only, so a piece of any length takes memory in
-proportion to it, and time in proportion but for the words that go on longest.
+side by side: no merge ever crosses such a place.  Of words of up to SHORT bytes
+the rows of every step are kept, fewer than SHORT for a byte.  For longer words the
+recursion is keyed by position and holds its last state only, so a piece of any
+length takes memory in proportion to it, and time in proportion but for the words
+that go on longest.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from itertools import repeat
 from pathlib import Path
 
 import duckdb
@@ -40,47 +46,39 @@ CHUNK = 6_000_000
 REMEMBERED = 400_000
 #: Bytes that go through the recursion at once; a longer word goes alone.
 ROWS = 250_000
-#: k: places, one left out between words, so that no two words are neighbours; places that a merge frees hold -1.
-#: one: words with one place to contract, where all behind it moves up by one; many: the others, whose rows are counted anew.
-#: Of overlapping places the first, third and so on are contracted; {first} limits a step to a word's first place.
+#: Longest word, in bytes, of which the rows of all steps are kept, which is faster than the key.
+SHORT = 32
+KEY = " USING KEY (k)"
+#: No token holds the two bytes side by side.
+NEVER = 2**31 - 1
+#: k: places of tokens' first bytes, one left out between words, so that no two words are neighbours; n: bytes of the token;
+#: l, r: least rank of a token that holds the two bytes at its left and at its right edge. free: pairs that no other merge can reach first.
+#: Of hits that overlap the first, third and so on are contracted; {first} limits a step to a word's first place.
+#: Words without a pair to contract are done, and leave with their last rows.
 ENCODE = """
-WITH RECURSIVE state(k, w, tok) USING KEY (k) AS (
-    SELECT k, w, tok FROM start
+WITH RECURSIVE state(k, w, tok, n, l, r, done) USING KEY (k) AS (
+    SELECT k, w, tok, n, l, r, false FROM start
   UNION ALL
     (WITH pair AS MATERIALIZED (
-        SELECT a.k, a.w, a.tok, m.rank
+        SELECT a.k, a.w, a.tok, a.n, a.l, a.r, a.n + b.n AS n_both, b.r AS r_both, m.rank, m.rank < a.l AND m.rank < b.r AS free
         FROM state a
-        LEFT JOIN state b ON b.k = a.k + 1 AND b.tok >= 0
+        LEFT JOIN state b ON b.k = a.k + a.n AND NOT b.done
         LEFT JOIN merges m ON m.pair = (a.tok::BIGINT << 32) + b.tok
-        WHERE a.tok >= 0
-     ), best AS MATERIALIZED (
-        SELECT w, min(rank) AS rank, arg_min(k, (rank, k)) AS k FROM pair WHERE rank IS NOT NULL GROUP BY w
-     ), hit AS MATERIALIZED (
-        SELECT p.k, p.w FROM pair p JOIN best ON p.w = best.w AND p.rank = best.rank {first}
-     ), many AS MATERIALIZED (
-        SELECT w FROM hit GROUP BY w HAVING count(*) > 1
-     ), one AS MATERIALIZED (
-        SELECT w, k FROM best ANTI JOIN many ON many.w = best.w
-     ), left_one AS MATERIALIZED (
-        SELECT k FROM (SELECT k, row_number() OVER (PARTITION BY w, run ORDER BY k) AS nth
-        FROM (SELECT h.k, h.w, h.k - row_number() OVER (PARTITION BY h.w ORDER BY h.k) AS run FROM hit h SEMI JOIN many ON many.w = h.w)) WHERE nth % 2 = 1
-     ), kept AS MATERIALIZED (
-        SELECT p.w, CASE WHEN l.k IS NULL THEN p.tok ELSE p.rank END AS tok, row_number() OVER (PARTITION BY p.w ORDER BY p.k) AS nth
-        FROM pair p SEMI JOIN many ON many.w = p.w LEFT JOIN left_one l ON l.k = p.k ANTI JOIN left_one r ON r.k = p.k - 1
-     ), ends AS (
-        SELECT p.w, min(p.k) AS k, max(p.k) AS until FROM pair p SEMI JOIN best ON best.w = p.w GROUP BY p.w
-     ), size AS (
-        SELECT w, count(*) AS n FROM kept GROUP BY w
+        WHERE NOT a.done
+     ), best AS (
+        SELECT w, min(rank) AS rank, arg_min(k, (rank, k)) AS k FROM pair WHERE rank IS NOT NULL GROUP BY w HAVING NOT bool_or(free)
+     ), hit AS (
+        SELECT p.k, p.w, p.n, coalesce(lag(p.k + p.n) OVER (ORDER BY p.k) <> p.k, true) AS opens
+        FROM pair p JOIN best ON p.w = best.w AND p.rank = best.rank {first}
+     ), pick AS MATERIALIZED (
+        SELECT k, w, n FROM pair WHERE free
+        UNION ALL
+        SELECT k, w, n FROM (SELECT *, nth - max(CASE WHEN opens THEN nth END) OVER (ORDER BY nth) AS behind FROM (SELECT *, row_number() OVER (ORDER BY k) AS nth FROM hit)) WHERE behind % 2 = 0
      )
-     SELECT p.k - (p.k > one.k)::BIGINT, p.w, CASE WHEN p.k = one.k THEN p.rank ELSE p.tok END FROM pair p JOIN one ON one.w = p.w WHERE p.k <> one.k + 1
-     UNION ALL
-     SELECT e.until, e.w, -1 FROM ends e SEMI JOIN one ON one.w = e.w
-     UNION ALL
-     SELECT e.k + kept.nth - 1, e.w, kept.tok FROM kept JOIN ends e ON e.w = kept.w
-     UNION ALL
-     SELECT unnest(range(e.k + s.n, e.until + 1)), e.w, -1 FROM ends e JOIN size s ON s.w = e.w)
+     SELECT k, w, CASE WHEN picked THEN rank ELSE tok END, CASE WHEN picked THEN n_both ELSE n END, l, CASE WHEN picked THEN r_both ELSE r END, w NOT IN (SELECT DISTINCT w FROM pick)
+     FROM (SELECT *, k IN (SELECT k FROM pick) AS picked FROM pair WHERE k NOT IN (SELECT k + n FROM pick)))
 )
-SELECT w, tok FROM state WHERE tok >= 0 ORDER BY k
+SELECT w, tok FROM state WHERE done ORDER BY k
 """
 DECODE = """
 SELECT w, unhex(string_agg(t.hex, '' ORDER BY pos)) AS bytes
@@ -105,12 +103,15 @@ class ByteBPE:
         odd = np.unique(rank[(left > rank) | (right > rank)]).tolist()
         by_rank = {r: t for t, r in self.ranks.items()}
         self.encode_sql = ENCODE.format(first="" if all(self.made_from_below(by_rank[r]) for r in odd) else "AND p.k = best.k")
-        self.joined = np.zeros(1 << 16, bool)
-        for t in self.ranks:
+        self.least = np.full(1 << 16, NEVER, np.int32)  # rank of a token that holds the two bytes side by side
+        for t, r in self.ranks.items():
             both = np.frombuffer(t, np.uint8).astype(np.int64)
-            self.joined[(both[:-1] << 8) + both[1:]] = True
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.before: dict[str, tuple[bytes, bytes]] = {}
+            at = (both[:-1] << 8) + both[1:]
+            self.least[at] = np.minimum(self.least[at], r)
+        self.known: dict[str, int] = {}  # pieces by place in what follows
+        self.ids, self.begin, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.back: list[bytes] = []
+        self.met = np.zeros(0, bool)
 
     def made_from_below(self, token: bytes) -> bool:
         """Whether merges, least rank first, make the token of its bytes without one of a higher rank."""
@@ -123,21 +124,36 @@ class ByteBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return True
 
-    def look_up(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Ids end to end, n+1 offsets and decoded bytes of every piece; only pieces not met before go through DuckDB."""
+    def look_up(self, words: pa.StringArray) -> np.ndarray:
+        """Where ids and decoded bytes of every piece are held; only pieces not met before go through DuckDB."""
         strings = words.to_pylist()
-        if len(self.known) > REMEMBERED // 2:  # what is not met again before the next turn is forgotten
-            self.known, self.before = {}, self.known
-        if self.before:
-            self.known.update({w: self.before[w] for w in strings if w in self.before and w not in self.known})
-        if new := [w for w in strings if w not in self.known]:
-            ids, off = self.encode_words(pa.array(new, pa.string()))
-            raw = ids.astype("<u4").tobytes()
-            for w, a, b, back in zip(new, off[:-1].tolist(), off[1:].tolist(), self.decode_words(ids, off), strict=True):
-                self.known[w] = raw[4 * a : 4 * b], back
-        got = [self.known[w] for w in strings]
-        off = np.concatenate([[0], np.cumsum(np.fromiter((len(g[0]) >> 2 for g in got), np.int64, len(got)))])
-        return np.frombuffer(b"".join([g[0] for g in got]), "<u4"), off, [g[1] for g in got]
+        if np.count_nonzero(self.met) > REMEMBERED // 2:  # what was not met since the last turn is forgotten
+            self.forget()
+        at = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            ids, off = self.encode_words(words.take(pa.array(new)))
+            at[new] = np.arange(len(self.back), len(self.back) + len(new))
+            self.known.update(zip([strings[i] for i in new.tolist()], at[new].tolist(), strict=True))
+            self.back += self.decode_words(ids, off)
+            self.begin = np.concatenate([self.begin, len(self.ids) + off[:-1]])
+            self.count = np.concatenate([self.count, np.diff(off)])
+            self.ids = np.concatenate([self.ids, ids.astype("<u4")])
+            self.met = np.concatenate([self.met, np.zeros(len(new), bool)])
+        self.met[at] = True
+        return at
+
+    def forget(self) -> None:
+        """Hold only pieces met since the last time."""
+        kept = np.flatnonzero(self.met)
+        place = np.cumsum(self.met) - 1
+        met = self.met.tolist()
+        self.known = {w: p for (w, i), p in zip(self.known.items(), place[list(self.known.values())].tolist(), strict=True) if met[i]}
+        self.back = [self.back[i] for i in kept.tolist()]
+        self.ids = self.ids[ragged(self.begin[kept], self.count[kept])]
+        self.count = self.count[kept]
+        self.begin = np.cumsum(self.count) - self.count
+        self.met = np.zeros(len(kept), bool)
 
     def encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of every piece end to end, and n+1 offsets.
@@ -154,7 +170,7 @@ class ByteBPE:
             byte = data[ragged(off[work], size)]
             begins = np.zeros(len(byte), bool)  # of words
             begins[np.cumsum(size) - size] = True
-            begins[1:] |= ~self.joined[(byte[:-1].astype(np.int64) << 8) + byte[1:]]
+            begins[1:] |= self.least[(byte[:-1].astype(np.int64) << 8) + byte[1:]] == NEVER
             heads = np.flatnonzero(begins)
             bounds = pa.py_buffer(np.append(heads, len(byte)).astype(np.int64))
             coded = pa.Array.from_buffers(pa.large_binary(), len(heads), [None, bounds, pa.py_buffer(byte)]).dictionary_encode()
@@ -171,19 +187,30 @@ class ByteBPE:
         off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
         byte = np.frombuffer(words.buffers()[2], np.uint8)[off[0] : off[-1]]
         size = np.diff(off)
-        word = np.repeat(np.arange(len(words)), size)
-        start = pa.table({"k": np.arange(len(byte)) + word, "w": word, "tok": self.single[byte]})
-        heads, at, got = np.cumsum(size) - size, 0, []
-        while at < len(byte):  # whole words, of about ROWS bytes in all
-            to = np.searchsorted(heads, at + ROWS)
-            to = int(heads[to]) if to < len(heads) else len(byte)
-            self.db.register("start", start.slice(at, to - at))
-            got.append(self.db.sql(self.encode_sql).to_arrow_table())
-            self.db.unregister("start")
-            at = to
+        heads = np.cumsum(size) - size
+        edge = np.full(len(byte) + 1, NEVER, np.int32)
+        edge[1:-1] = self.least[(byte[:-1].astype(np.int64) << 8) + byte[1:]]
+        edge[heads] = NEVER
+        place = np.int32 if 2 * len(byte) < NEVER else np.int64
+        word = np.repeat(np.arange(len(words), dtype=place), size)
+        start = pa.table({"k": np.arange(len(byte), dtype=place) + word, "w": word, "tok": self.single[byte], "n": np.ones(len(byte), np.int32), "l": edge[:-1], "r": edge[1:]})
+        got = []
+        for sql, rows in ((self.encode_sql.replace(KEY, ""), size <= SHORT), (self.encode_sql, size > SHORT)):
+            if not rows.any():
+                continue
+            mine = start if rows.all() else start.filter(pa.array(np.repeat(rows, size)))
+            begin, at = np.cumsum(size[rows]) - size[rows], 0
+            while at < len(mine):  # whole words, of about ROWS bytes in all
+                to = np.searchsorted(begin, at + ROWS)
+                to = int(begin[to]) if to < len(begin) else len(mine)
+                self.db.register("start", mine.slice(at, to - at))
+                got.append(self.db.sql(sql).to_arrow_table())
+                self.db.unregister("start")
+                at = to
         done = pa.concat_tables(got)
-        count = np.bincount(done["w"].to_numpy(), minlength=len(words))
-        return done["tok"].to_numpy(), np.cumsum(count) - count, count
+        word, token = done["w"].to_numpy(), done["tok"].to_numpy()
+        count = np.bincount(word, minlength=len(words))
+        return token[np.argsort(word, kind="stable")], np.cumsum(count) - count, count
 
     def decode_words(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
         """The bytes of every id sequence (none may be empty)."""
@@ -197,11 +224,12 @@ class ByteBPE:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Ids of all texts end to end, their n+1 offsets, and the bytes that each text's ids decode to."""
         pieces = split(texts, space_prefix=True)
-        words, off, parts = self.look_up(pieces.words)
-        count = np.diff(off)[pieces.codes]
+        held = self.look_up(pieces.words)
+        count = self.count[held][pieces.codes]
         count[pieces.last] = 0
-        flat = words[ragged(off[:-1][pieces.codes], count)]
+        flat = self.ids[ragged(self.begin[held][pieces.codes], count)]
         cum = np.concatenate([[0], np.cumsum(count)])
+        parts = [self.back[i] for i in held.tolist()]
         codes = pieces.codes.tolist()
         decoded = [b"".join([parts[c] for c in codes[p:q]]) for p, q in zip(pieces.first.tolist(), pieces.last.tolist(), strict=True)]
         return flat, np.append(cum[pieces.first], cum[-1]), decoded

@@ -134,6 +134,57 @@ def test_one_place_a_step_gives_the_same():
     assert not bpe.made_from_below(b"abc")
 
 
+def one_by_one(piece, ranks):
+    """Ids by merging the first place of the least rank until no pair merges."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while piece not in ranks and len(parts) > 1:
+        rank, at = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank == 1 << 30:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[piece]] if piece in ranks else [ranks[x] for x in parts]
+
+
+def test_any_rank_file_gives_what_one_place_at_a_time_gives(tmp_path):
+    kinds = set()
+    for seed in range(12):
+        r = random.Random(seed)
+        tokens = {bytes(r.choices(b"abc", k=r.choice([2, 2, 3, 4, 5]))) for _ in range(4 + 3 * seed)} | {b"ab"}
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(r.sample(sorted(tokens), len(tokens)))}
+        path = tmp_path / f"{seed}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % n for t, n in ranks.items()))
+        bpe = byte_bpe.ByteBPE(str(path))
+        kinds.add(bpe.encode_sql)
+        pieces = ["".join(r.choices("abc", k=r.choice([1, 3, 6, 12, 31, 32, 33, 90]))) for _ in range(150)]
+        flat, off, _ = bpe.encode(pieces)
+        for t, a, b in zip(pieces, off[:-1].tolist(), off[1:].tolist(), strict=True):
+            assert flat[a:b].tolist() == one_by_one(t.encode(), ranks), (seed, t)
+    assert len(kinds) == 2  # files of either sort
+
+
+def test_the_recursion_makes_few_rows():
+    bpe = byte_bpe.ByteBPE(BYTE)
+    r = random.Random(8)
+    pieces = sorted({" " + "".join(r.choices("th er ing tion ou wh re an ed of ést ment ç que".split(), k=r.randint(2, 6))) for _ in range(3000)} - {t.decode(errors="ignore") for t in bpe.ranks})
+    sql = bpe.encode_sql.replace(" USING KEY (k)", "")
+    bpe.encode_sql = sql[: sql.rindex("SELECT w, tok")] + "SELECT w, tok FROM state"  # the rows of all steps
+    ids, _ = bpe.encode_words(byte_bpe.pa.array(pieces, byte_bpe.pa.string()))
+    assert len(ids) < 4 * sum(len(p.encode()) for p in pieces)
+
+
+def test_what_is_forgotten_is_encoded_again(monkeypatch):
+    bpe = byte_bpe.ByteBPE(BYTE)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 60)
+    all_ = texts()
+    for at in [*range(0, len(all_), 7), *range(0, len(all_), 11)]:
+        part = all_[at : at + 9]
+        flat, off, decoded = bpe.encode(part)
+        assert [flat[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [library.encode_ordinary(t) for t in part]
+        assert decoded == [t.encode() for t in part]
+    assert len(bpe.known) == len(bpe.back) == len(bpe.count) < 1000 and len(bpe.ids) == bpe.count.sum()
+
+
 def test_rows_that_repeat_spread_over_groups(spark):
     pieces = spark.createDataFrame([(None, 0, 0, 1, 5)] * 9000, packing.PIECES)
     packed = packing.pack(pieces, 2048, group_items=1000)
