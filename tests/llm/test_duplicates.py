@@ -1,5 +1,6 @@
 import hashlib
 import random
+import string
 import tracemalloc
 from collections import Counter
 
@@ -202,6 +203,20 @@ def test_repeats_edges(docs):
     assert {x["kept_text"].strip("ä") for x in got} == {""}
 
 
+def test_a_key_of_two_buckets_counts_no_place_twice(docs):
+    r = random.Random(7)
+    noise = lambda n: "".join(r.choices(string.ascii_lowercase, k=n))
+    cores, tails = [noise(270) for _ in range(40)], [noise(60) for _ in range(8)]
+    rows = [(i, noise(200) + cores[i % 40] + tails[i // 40 % 8] + noise(200)) for i in range(640)]
+    parses = {}
+    found = repeats.Anchors([x[1].encode() for x in rows], 400)
+    symbols = found.phrases()
+    for key, a, b in zip(found.key.tolist(), found.use, found.to, strict=True):
+        parses.setdefault(key, Counter())[symbols[a:b].tobytes()[:16]] += 1
+    assert any(sum(n > 1 for n in c.values()) > 1 for c in parses.values())
+    assert {x["n_removed"] for x in repeats.cut_repeats(docs(rows), 400).collect()} == {0}
+
+
 def test_repeats_very_long_and_clashing(docs):
     r = random.Random(5)
     long = prose(r, 60_000)
